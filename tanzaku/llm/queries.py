@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tanzaku.llm import knn
+from tanzaku.llm import knn, langid, lookalike, quality, split
 from tanzaku.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,91 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.mutual_pairs(_vectors(spark, d), 0.90)
+
+
+# ---------------------------------------------------------------- 3: splitting oversized items
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "plot_chunk", ["chunk_id", "text", "section"])
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    cut = split.split_items(_chunks(spark, d), "chunk_id", "text", "section", with_text=False)
+    return cut.where("piece_no = 1").select("chunk_id", "cut_kind").distinct()
+
+
+@query
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    cut = split.split_items(_chunks(spark, d), "chunk_id", "text", "section")
+    return cut.select("chunk_id", "piece_no", "start", "end", "cut_kind", "piece").distinct()
+
+
+# ---------------------------------------------------------------- 8: text quality
+
+
+def _common(spark: SparkSession, d: str) -> list[str]:
+    return [r["word"] for r in load(spark, d, "common_word", ["word"]).where("word is not null").limit(quality.MAX_COMMON + 1).collect()]
+
+
+def _statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.document_statistics(load(spark, d, "documents", ["doc_id", "text"]), "doc_id", "text", _common(spark, d))
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _statistics(spark, d).where("doc_kind != 'prose'").select("doc_id", "doc_kind").distinct()
+
+
+@query
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return _statistics(spark, d).distinct()
+
+
+# ---------------------------------------------------------------- 1: languages
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """(rec_table, rec_key, text, label), each key once."""
+    a = load(spark, d, "anime_profile", ["subject_id", "summary", "summary_lang"]).toDF("rec_key", "text", "label").withColumn("rec_table", F.lit("anime_profile"))
+    b = load(spark, d, "translation", ["src_sha", "src", "src_lang"]).toDF("rec_key", "text", "label").withColumn("rec_table", F.lit("translation"))
+    both = a.withColumn("rec_key", F.col("rec_key").cast("string")).unionByName(b).where("text is not null and rec_key is not null")
+    return both.dropDuplicates(["rec_table", "rec_key"])
+
+
+def _stretches(spark: SparkSession, d: str) -> DataFrame:
+    texts = _texts(spark, d)
+    named = texts.withColumn("named", langid.label_language(F.col("label")))
+    return langid.language_stretches(named, ["rec_table", "rec_key", "named"], "text", langid.fit_on(texts, "text", "label"))
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _stretches(spark, d).where("named is null or named != lang or n_seg > 1").select("rec_table", "rec_key", "seg_no", "lang")
+
+
+@query
+def p1_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return _stretches(spark, d).drop("named")
+
+
+# ---------------------------------------------------------------- 4: visually identical text
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """(field_name, key, value)"""
+    alias = load(spark, d, "alias", ["id", "name", "norm_name"])
+    pages = load(spark, d, "moegirl_page", ["pageid", "title"])
+    one = lambda df, field, key, value: df.select(F.lit(field).alias("field_name"), F.col(key).cast("long").alias("key"), F.col(value).alias("value"))
+    return one(alias, "alias.name", "id", "name").unionByName(one(alias, "alias.norm_name", "id", "norm_name")).unionByName(one(pages, "moegirl_page.title", "pageid", "title"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.lookalike_pairs(_names(spark, d), "field_name", "key", "value")
+
+
+@query
+def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.canonical_values(_names(spark, d), "field_name", "key", "value").distinct()
