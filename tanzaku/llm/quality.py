@@ -27,7 +27,7 @@ COMMA = re.compile(r"[，、,;；]")
 PAIRED = re.compile(r"[:：]\s*\S|[「『][^」』]+[」』]")
 QUOTE = re.compile(r"^\s*>+ ?")
 CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿가-힯]")
-WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,/:-]\d+)*")
+LATIN = re.compile(r"[^\W\d_぀-ヿ㐀-鿿豈-﫿가-힯]+")
 HEX = re.compile(r"^(?=.*\d)[0-9a-f]{4,}$", re.I)
 
 STATS = (
@@ -54,6 +54,8 @@ def _classes() -> np.ndarray:
                 out[i] = 8
         elif 0x3040 <= i <= 0x30FF and kind[0] == "L":
             out[i] = 9
+        elif 0xAC00 <= i <= 0xD7A3 or 0xF900 <= i <= 0xFAFF:
+            out[i] = 11
         elif i < 128 and c.isalpha():
             out[i] = 2
         elif kind[0] == "N":
@@ -66,7 +68,7 @@ def _classes() -> np.ndarray:
 
 
 CLASS = _classes()
-NAMES = ("space", "letter", "ascii letter", "number", "sign", "broken", "latin-1 letter", "common ideograph", "rare ideograph", "kana", "latin-1 sign")
+NAMES = ("space", "letter", "ascii letter", "number", "sign", "broken", "latin-1 letter", "common ideograph", "rare ideograph", "kana", "latin-1 sign", "other CJK")
 
 
 def _codes(text: str) -> np.ndarray:
@@ -77,50 +79,27 @@ def _weight(s: str) -> int:
     return len("".join(s.split()))
 
 
-def _words(text: str) -> list[str]:
-    """Words of scripts with blanks, and single characters of Chinese, Japanese and Korean."""
-    out: list[str] = []
-    for w in WORD.findall(text):
-        if w.isascii():
-            out.append(w)
-        else:
-            out += CJK.findall(w) or [w]
-    return out
-
-
-def _ids(units: list[str]) -> np.ndarray:
-    seen: dict[str, int] = {}
-    return np.fromiter((seen.setdefault(u, len(seen)) for u in units), np.uint64, len(units))
-
-
-def top_ngram_share(units: list[str], ids: np.ndarray) -> float:
-    """Largest share of the characters that one n-gram of 2, 4, 8 or 16 units, or one long word, covers without overlaps."""
-    n, best = len(units), 0.0
-    if n < 8:
-        return 0.0
-    sizes = np.fromiter(map(len, units), np.int64, n)
-    total, sums = int(sizes.sum()), np.concatenate([[0], np.cumsum(sizes)])
-    h, size = ids + np.uint64(1), 1
-    while n >= 3 * size and size <= 16:
-        _, first, times = np.unique(h, return_index=True, return_counts=True)
-        i = int(times.argmax())
-        if times[i] < 3:
-            break
-        length = int(sums[first[i] + size] - sums[first[i]])
-        if length > 1:
-            best = max(best, min(1.0, min(int(times[i]), n // size) * length / total))
+def top_ngram_share(chars: np.ndarray) -> float:
+    """Largest share of the characters that one n-gram of 4, 8, 16, 32 or 64 characters covers, without overlaps."""
+    n, best, h, size = len(chars), 0.0, chars.astype(np.uint64) + np.uint64(1), 1
+    while n >= 3 * size and size <= 64:
+        if size >= 4:
+            times = int(np.unique(h, return_counts=True)[1].max())
+            if times < 3:
+                break
+            best = max(best, min(times, n // size) * size / n)
         with np.errstate(over="ignore"):
             h = h[:-size] * np.uint64(0x9E3779B97F4A7C15) + (h[size:] ^ (h[size:] >> np.uint64(17)))
         size *= 2
     return best
 
 
-def _period(ids: np.ndarray) -> bool:
-    """Whether the units repeat one short phrase over and over."""
-    n = len(ids)
-    if n < 12 or ids.max() > 0.3 * n + 12:
+def _period(chars: np.ndarray) -> bool:
+    """Whether the characters repeat one short phrase over and over."""
+    n = len(chars)
+    if n < 16 or len(np.unique(chars)) > 40:
         return False
-    return any((ids[:-p] == ids[p:]).sum() >= 0.9 * (n - p) for p in range(1, min(40, n // 4) + 1))
+    return any((chars[:-p] == chars[p:]).sum() >= 0.9 * (n - p) for p in range(1, min(64, n // 4) + 1))
 
 
 ODD = re.compile(r"[bcdfghjklmnpqrstvwxz]{4}|[aeiouy]{4}|q(?!u)|^[bcdfghjklmnpqrstvwxz]{3}|[bcdfgjkpqvwxz]{3}|[jqvx]$|[jqvwxz][bcdfgjkmpqtvwxz]")
@@ -133,9 +112,11 @@ def _latin_noise(words: list[str]) -> bool:
     return len(long) >= 5 and sum(1 for w in long if ODD.search(w) and not FINE.search(w)) >= 0.45 * len(long)
 
 
-def _junk(text: str, common: frozenset[str], counts: np.ndarray | None = None, ids: np.ndarray | None = None) -> bool:
+def _junk(text: str, common: frozenset[str], codes: np.ndarray | None = None) -> bool:
     """Whether there is nothing to read in ``text``: signs, broken coding, noise or one phrase over and over."""
-    c = np.bincount(CLASS[_codes(text)], minlength=11) if counts is None else counts
+    codes = _codes(text) if codes is None else codes
+    kinds = CLASS[codes]
+    c = np.bincount(kinds, minlength=12)
     n = int(c[1:].sum())
     if n < 12:
         return False
@@ -145,7 +126,7 @@ def _junk(text: str, common: frozenset[str], counts: np.ndarray | None = None, i
         return True
     if c[3] > 0.1 * n and sum(len(w) for w in re.split(r"[\s,;:|-]+", text) if HEX.match(w)) > 0.5 * n:
         return True
-    if _period(_ids(_words(text)) if ids is None else ids):
+    if _period(codes[kinds > 0]):
         return True
     if c[2] > 0.6 * n and _latin_noise(re.findall(r"[A-Za-z]+", text)):
         return True
@@ -236,19 +217,20 @@ def measure(text: str | None, common: frozenset[str]) -> tuple:
     if not text or text.isspace():
         return (len(text or ""), 0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, "prose")
     codes = _codes(text)
-    counts = np.bincount(CLASS[codes], minlength=11)
+    kinds_at = CLASS[codes]
+    counts = np.bincount(kinds_at, minlength=12)
     n = int(counts[1:].sum())
     lines = text.splitlines()
     full = [x.strip() for x in lines if x.strip()]
-    units = _words(text)
-    ids = _ids(units)
-    letters = [w for w in units if not w[0].isdigit()]
     low = text.lower()
-    shared = sum(len(w) for w in letters if w.lower() in common)
+    latin = LATIN.findall(low)
+    cjk = int(counts[7] + counts[8] + counts[9] + counts[11])
+    words = len(latin) + cjk + int(((kinds_at[1:] == 3) & (kinds_at[:-1] != 3)).sum()) + int(kinds_at[0] == 3)
+    shared = sum(len(w) for w in latin if w in common)
     shared += sum(low.count(w) * len(w) for w in common if len(w) > 1 and CJK.match(w))
     paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
     share: Counter[str] = Counter()
-    if _junk(text, common, counts, ids):
+    if _junk(text, common, codes):
         share["junk"] = n
     else:
         kinds = line_kinds(lines)
@@ -261,9 +243,9 @@ def measure(text: str | None, common: frozenset[str]) -> tuple:
     other = sum(share.values())
     kind = max(("list", "table", "junk"), key=lambda k: share[k]) if other > 0.5 * n else "prose"
     return (
-        len(text), len(units), sum(map(len, letters)) / max(1, len(letters)), float(counts[4] + counts[10] + counts[5]) / n, float(counts[3]) / n,
+        len(text), words, (sum(map(len, latin)) + cjk) / max(1, len(latin) + cjk), float(counts[4] + counts[10] + counts[5]) / n, float(counts[3]) / n,
         len(full), sum(1 for x in full if TERMINAL.search(x)) / max(1, len(full)), sum(1 for x in full if BULLET.match(x)) / max(1, len(full)), min(1.0, shared / n), 1 - len(set(full)) / max(1, len(full)),
-        1 - len(set(paragraphs)) / max(1, len(paragraphs)), top_ngram_share(units, ids), share["list"] / n, share["table"] / n, share["junk"] / n, kind,
+        1 - len(set(paragraphs)) / max(1, len(paragraphs)), top_ngram_share(codes[kinds_at > 0]), share["list"] / n, share["table"] / n, share["junk"] / n, kind,
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tanzaku.llm import knn, langid, lookalike, quality, split
+from tanzaku.llm import knn, langid, leakage, lookalike, packing, quality, split
 from tanzaku.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,39 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_values(_names(spark, d), "field_name", "key", "value").distinct()
+
+
+# ---------------------------------------------------------------- 6: filling containers
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents", ["doc_id", "text"]).select("doc_id", packing.byte_tokens(F.col("text")).alias("tokens"))
+    return packing.pack(docs.where("tokens is not null").distinct(), "doc_id", "tokens", 4096)
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).where("n_pieces > 1").select("doc_id").distinct()
+
+
+@query
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+# ---------------------------------------------------------------- 7: leaked evaluation texts
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    items = load(spark, d, "eval_item", ["item_id", "lang", "passage"])
+    return leakage.leaks(load(spark, d, "documents", ["doc_id", "text"]), "doc_id", "text", items, "item_id", "lang", "passage")
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("item_id", "doc_id").distinct()
+
+
+@query
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).groupBy("item_id", "doc_id").agg(F.max("letters").alias("letters"), F.max("share").alias("share"))
