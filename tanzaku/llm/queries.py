@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tanzaku.llm import knn, langid, leakage, lookalike, packing, quality, split
+from tanzaku.llm import knn, langid, leakage, lookalike, matching, packing, quality, split
 from tanzaku.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id", "doc_id").agg(F.max("letters").alias("letters"), F.max("share").alias("share"))
+
+
+# ---------------------------------------------------------------- 5: works and their pages
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    works = load(spark, d, "anime_profile", ["subject_id", "name", "name_cn", "air_year", "studios", "updated_at"])
+    pages = load(spark, d, "moegirl_page", ["pageid", "kind", "title", "lead_text", "lastrevid"])
+    return matching.matches(works, pages)
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).select("subject_id", "pageid")
+
+
+@query
+def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d)
