@@ -2,9 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tanzaku.plans import etl, evaluation, features, lookups, recommending, retrieval, searching, selecting, texts  # noqa: F401
+from tanzaku.plans.registry import ORACLES, QUERIES  # noqa: F401
