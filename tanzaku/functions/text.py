@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 PUNCTUATION = r"[\p{P}\p{S}\p{Z}\p{C}]"
 KANA = "[ぁ-んァ-ヶ]"
@@ -17,7 +18,7 @@ def stripped_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), PUNCTUATION, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def name_key(s: pd.Series) -> pd.Series:
     """Key under which names are compared: NFKC, case folded, without categories P, S, Z and C. Null stays null."""
 
