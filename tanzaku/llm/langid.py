@@ -42,10 +42,11 @@ SEEDS = {
 }
 
 SENTENCE = re.compile(r"[^\n\r。！？!?…．]*?(?:[。！？!?…．]+[\"'”’」』】）)\]》〉]*|\.[\"'”’」』】）)\]》〉]*(?=\s|[぀-ヿ㐀-鿿가-힯])|[\n\r]+|$)")
+NAME_MARK = re.compile(r"[A-Za-z][!?]+$")
 QUOTED = re.compile(r"《[^》]*》|『[^』]*』|「[^」]*」|〈[^〉]*〉|【[^】]*】|\([^)]*\)|（[^）]*）|\"[^\"]*\"|“[^”]*”")
 
 SLOTS, HASHES = 1 << 18, 3
-CJK_WEIGHT, SWITCH, CAP = 3.0, 5.0, 24.0
+CJK_WEIGHT, SWITCH, CAP = 3.0, 12.0, 90.0  #: weight of a CJK n-gram, cost of a change, most evidence of a sentence
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +144,14 @@ def fit(labelled: list[tuple[str, str]]) -> Filter:
 
 def stretches(text: str, model: Filter) -> list[tuple[int, int, str, float]]:
     """(start, end, language, confidence) of the maximal stretches of ``text``; none if it has no letters."""
-    spans = [(m.start(), m.end()) for m in SENTENCE.finditer(text) if m.end() > m.start()]
+    spans: list[tuple[int, int]] = []
+    for m in SENTENCE.finditer(text):
+        if m.end() == m.start():
+            continue
+        if spans and text[m.end() - 1] in "。」』" and NAME_MARK.search(text, *spans[-1]):  # the mark stood in a name
+            spans[-1] = (spans[-1][0], m.end())
+        else:
+            spans.append((m.start(), m.end()))
     if not spans:
         return []
     codes = _codes(text)
@@ -163,7 +171,7 @@ def stretches(text: str, model: Filter) -> list[tuple[int, int, str, float]]:
     total = np.bincount(at, weight, len(spans))
     got = np.stack([np.bincount(at, hit[:, i], len(spans)) for i in range(len(LANGS))], 1)
     share = np.clip((got - total[:, None] * model.chance) / np.maximum(total[:, None] * (1 - model.chance), 1e-9), 0, 1)
-    gain = share * np.minimum(total, CAP * 2)[:, None]
+    gain = share * np.minimum(total, CAP)[:, None]
     best, back = gain[0].copy(), []
     for row in gain[1:]:
         top = int(best.argmax())
@@ -178,7 +186,7 @@ def stretches(text: str, model: Filter) -> list[tuple[int, int, str, float]]:
     lo = 0
     for i in range(1, len(spans) + 1):
         if i == len(spans) or lang[i] != lang[lo]:
-            sums, weights = gain[lo:i].sum(0), max(1e-9, np.minimum(total[lo:i], CAP * 2).sum())
+            sums, weights = gain[lo:i].sum(0), max(1e-9, np.minimum(total[lo:i], CAP).sum())
             others = np.delete(sums, lang[lo]).max()
             sure = float(1 / (1 + np.exp(-(sums[lang[lo]] - others) / np.sqrt(weights) * 1.5))) if total[lo:i].sum() else 0.5
             out.append((spans[lo][0], spans[i - 1][1], LANGS[lang[lo]], round(sure, 6)))
