@@ -97,8 +97,9 @@ def top_ngram_share(chars: np.ndarray) -> float:
 def _period(chars: np.ndarray) -> bool:
     """Whether the characters repeat one short phrase over and over."""
     n = len(chars)
-    if n < 16 or len(np.unique(chars)) > 40:
-        return False
+    kinds = len(np.unique(chars))
+    if n < 16 or kinds > 40:
+        return n >= 6 and kinds == 1
     return any((chars[:-p] == chars[p:]).sum() >= 0.9 * (n - p) for p in range(1, min(64, n // 4) + 1))
 
 
@@ -119,7 +120,7 @@ def _junk(text: str, common: frozenset[str], codes: np.ndarray | None = None) ->
     c = np.bincount(kinds, minlength=12)
     n = int(c[1:].sum())
     if n < 12:
-        return False
+        return n - c[4] - c[10] > 0.5 * n and _period(codes[kinds > 0])
     if n - c[4] - c[5] - c[10] < 0.45 * n or c[5] > 0.04 * n:
         return True
     if c[6] + c[10] > 0.3 * n and c[6] + c[10] > 0.6 * c[2]:
@@ -190,7 +191,10 @@ def line_kinds(lines: list[str]) -> list[str]:
             i += 1
             continue
         j = i
-        while j < len(lines) and (look[j] == "plain" or look[j].startswith("row") and out[j] == "prose"):
+        if _sentence(lines[i]):
+            i += 1
+            continue
+        while j < len(lines) and (look[j] == "plain" or look[j].startswith("row") and out[j] == "prose") and not _sentence(lines[j]):
             j += 1
         block = [QUOTE.sub("", x) for x in lines[i:j]]
         sizes = [_weight(x) for x in block]
@@ -203,6 +207,11 @@ def line_kinds(lines: list[str]) -> list[str]:
     return out
 
 
+def _sentence(line: str) -> bool:
+    """Whether a line ends like a sentence and is long enough for one."""
+    return TERMINAL.search(line) is not None and _weight(line) > 12 and ENDS.search(line) is not None
+
+
 def _wrapped(block: list[str]) -> bool:
     """Whether lines look like one text broken at a width: all but the last nearly as wide as the widest."""
     if len(block) < 3:
@@ -228,6 +237,7 @@ def measure(text: str | None, common: frozenset[str]) -> tuple:
     words = len(latin) + cjk + int(((kinds_at[1:] == 3) & (kinds_at[:-1] != 3)).sum()) + int(kinds_at[0] == 3)
     shared = sum(len(w) for w in latin if w in common)
     shared += sum(low.count(w) * len(w) for w in common if len(w) > 1 and CJK.match(w))
+    shared += int(np.isin(codes, [ord(w) for w in common if len(w) == 1 and CJK.match(w)]).sum())
     paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
     share: Counter[str] = Counter()
     if _junk(text, common, codes):
