@@ -172,3 +172,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
     return _matches(spark, d)
+
+
+# ---------------------------------------------------------------- SQL of an independent engine, where it can say the same
+
+_CLOSERS = "\"\\'”’」』】）)］\\]｝}》〉〕〗〙»›＂＇".replace("\\'", "''")
+ORACLES["p3_found"] = f"""with c as (select distinct chunk_id, text, coalesce(length(section) + 2, 0) label from plot_chunk where length(text) + coalesce(length(section) + 2, 0) > 600),
+m as (select chunk_id, label, regexp_replace(regexp_replace(regexp_replace(text, '\\.(\\s)', '.' || chr(1) || '\\1', 'g'), '([。！？!?…]+[{_CLOSERS}]*)', '\\1' || chr(1), 'g'), '(\\r\\n|[\\n\\r\\x0b\\x0c])', '\\1' || chr(1), 'g') t from c)
+select chunk_id, case when list_max(list_transform(string_split(t, chr(1)), lambda x: length(x))) <= 600 - label - 50 then 'natural' else 'forced' end cut_kind from m"""
+ORACLES["p6_found"] = "select distinct doc_id from documents where strlen(text) + 1 > 4096"
+
+
+# ---------------------------------------------------------------- 2: lists for a stated set of queries
+
+
+@query
+def p2_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 nearest chunks of every chunk whose id is divisible by 50, against all rows, with many more leaves visited than for all pairs."""
+    vectors = knn.usable_vectors(load(spark, d, "plot_chunk", ["chunk_id", "vec"]), "chunk_id", "vec", "plot_chunk")
+    return knn.nearest_keys(vectors, "cast(key as bigint) % 50 = 0", knn.Params(stages=16, beam=2, probes=64, rerank=160)).select(F.col("key").cast("long").alias("chunk_id"), F.col("other").cast("long").alias("other"), "cos", "position")
