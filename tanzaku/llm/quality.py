@@ -113,8 +113,8 @@ def _latin_noise(words: list[str]) -> bool:
     return len(long) >= 5 and sum(1 for w in long if ODD.search(w) and not FINE.search(w)) >= 0.45 * len(long)
 
 
-def _junk(text: str, common: frozenset[str], codes: np.ndarray | None = None) -> bool:
-    """Whether there is nothing to read in ``text``: signs, broken coding, noise or one phrase over and over."""
+def _junk(text: str, common: frozenset[str], codes: np.ndarray | None = None, rows: bool = False) -> bool:
+    """Whether there is nothing to read in ``text``: signs, broken coding, noise or, if it is no ``rows`` of a table, one phrase over and over."""
     codes = _codes(text) if codes is None else codes
     kinds = CLASS[codes]
     c = np.bincount(kinds, minlength=12)
@@ -127,7 +127,7 @@ def _junk(text: str, common: frozenset[str], codes: np.ndarray | None = None) ->
         return True
     if c[3] > 0.1 * n and sum(len(w) for w in re.split(r"[\s,;:|-]+", text) if HEX.match(w)) > 0.5 * n:
         return True
-    if _period(codes[kinds > 0]):
+    if not rows and _period(codes[kinds > 0]):
         return True
     if c[2] > 0.6 * n and _latin_noise(re.findall(r"[A-Za-z]+", text)):
         return True
@@ -240,10 +240,10 @@ def measure(text: str | None, common: frozenset[str]) -> tuple:
     shared += int(np.isin(codes, [ord(w) for w in common if len(w) == 1 and CJK.match(w)]).sum())
     paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
     share: Counter[str] = Counter()
-    if _junk(text, common, codes):
+    kinds = line_kinds(lines)
+    if _junk(text, common, codes, sum(k == "table" for k in kinds) > 0.5 * len(full)):
         share["junk"] = n
     else:
-        kinds = line_kinds(lines)
         doubtful = counts[5] + counts[8] + counts[6] + counts[10] + counts[4] + counts[3] + (counts[2] if counts[2] < 0.9 * n else 0) > 0.25 * n or len(full) - len(set(full)) > 0
         for line, kind in zip(lines, kinds):
             if kind == "prose" and doubtful and _junk(line, common):
