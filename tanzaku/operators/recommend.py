@@ -103,14 +103,15 @@ def allowed(o: Options) -> Column:
     return ok
 
 
-def recommend(items: DataFrame, ratings: DataFrame, o: Options = Options()) -> DataFrame:
+def recommend(items: DataFrame, ratings: DataFrame, o: Options = Options(), vectors: DataFrame | None = None) -> DataFrame:
     """(item_id, root, match, quality, rank_score, position) for the one user in ``ratings``.
 
     ``items``: item_id, root, vec, score, votes, nsfw, air_year, air_date. Folded, a group has the match of its
     best member and the identity and quality of its entry (earliest year, most votes, least id). Items
-    without a vector, and rated ones that exclude, take no part; no ratings give no rows.
+    without a vector, and rated ones that exclude, take no part; no ratings give no rows. ``vectors`` (item_id,
+    vec) spares the joins behind the other columns of ``items`` when the preference is computed.
     """
-    pref = preference_vectors(ratings, items)
+    pref = preference_vectors(ratings, items if vectors is None else vectors)
     seen = ratings.where("exclude").select("item_id").distinct()
     cand = items.where(F.col("vec").isNotNull() & allowed(o)).withColumn("root", F.coalesce("root", "item_id")).join(seen, "item_id", "left_anti")
     cand = cand.crossJoin(F.broadcast(pref.select("pref")))  # one row
@@ -127,9 +128,9 @@ def recommend(items: DataFrame, ratings: DataFrame, o: Options = Options()) -> D
     elif o.rank_by == "quality":
         ranked = pool.withColumn("rank_score", F.col("quality"))
     else:
-        ends = pool.agg(*[f(c).alias(f"{n}_{c}") for c in ("match", "quality") for n, f in (("lo", F.min), ("hi", F.max))])
-        scaled = lambda c: V.min_max(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"))
-        ranked = pool.crossJoin(F.broadcast(ends)).withColumn("rank_score", o.alpha * scaled("match") + (1 - o.alpha) * scaled("quality"))
+        whole = Window.partitionBy(F.lit(0))  # the pool has ``want`` rows at most
+        scaled = lambda c: V.min_max(F.col(c), F.min(c).over(whole), F.max(c).over(whole))
+        ranked = pool.withColumn("rank_score", o.alpha * scaled("match") + (1 - o.alpha) * scaled("quality"))
     ranked = ranked.withColumn("rank_score", F.round("rank_score", 9))
     top = ranked.orderBy(F.col("rank_score").desc(), F.col("match").desc(), "best_id").limit(o.top_k)  # bounded by top_k from here
     w = Window.orderBy(F.col("rank_score").desc(), F.col("match").desc(), "best_id")

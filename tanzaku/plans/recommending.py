@@ -27,6 +27,10 @@ def ratings(spark: SparkSession, d: str, user: int | None = None) -> DataFrame:
     return R.ratings_from_answers(a.where(F.col("user_id") == user) if user is not None else a)
 
 
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "embeddings", ["vec_id", "embedding"]).toDF("item_id", "vec")
+
+
 def items(spark: SparkSession, d: str) -> DataFrame:
     """item_id, root, vec, score, votes, nsfw, air_year, air_date"""
     e = load(spark, d, "embeddings", ["vec_id", "embedding"]).select(F.col("vec_id").alias("item_id"), (F.col("vec_id") % 97).alias("root"), F.col("embedding").alias("vec"))
@@ -81,7 +85,7 @@ def shown(df: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, d: str, **o) -> DataFrame:
-    return shown(R.recommend(items(spark, d), ratings(spark, d, USER), R.Options(**o)))
+    return shown(R.recommend(items(spark, d), ratings(spark, d, USER), R.Options(**o), vectors(spark, d)))
 
 
 @query(f"with {RATED} select user_id, item_id, round(score, 6) score, confidence, excl as exclude from ratings")
@@ -101,7 +105,7 @@ def rating_weights(spark, d):
 
 @query(f"with {RATED}, {ITEMS}, dims as (select user_id, pos, sum(w * x) v from (select user_id, w, unnest(vec)::double x, generate_subscripts(vec, 1) pos from weights join items using (item_id)) group by 1, 2) select user_id, pos - 1 as pos, round(v, 6) value from dims")
 def preference_vector_dims(spark, d):
-    return R.preference_dims(ratings(spark, d), items(spark, d)).select("user_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+    return R.preference_dims(ratings(spark, d), vectors(spark, d)).select("user_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 
 @query("with q as (select embedding::double[] v from embeddings where vec_id = 3), s as (select vec_id, round(list_cosine_similarity(v, embedding::double[]), 9) cos from embeddings cross join q where vec_id <> 3) select vec_id, round(cos, 6) cos from s order by s.cos desc, vec_id limit 10")

@@ -14,3 +14,9 @@ def load(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | N
     ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of few files over all cores, ahead of costly functions; one of many splits stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n // 2 else df
