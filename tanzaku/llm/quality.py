@@ -97,7 +97,7 @@ def top_ngram_share(chars: np.ndarray) -> float:
 def _period(chars: np.ndarray) -> bool:
     """Whether the characters repeat one short phrase over and over."""
     n = len(chars)
-    kinds = len(np.unique(chars))
+    kinds = int((np.bincount(chars) > 0).sum())
     if n < 16 or kinds > 40:
         return n >= 6 and kinds == 1
     return any((chars[:-p] == chars[p:]).sum() >= 0.9 * (n - p) for p in range(1, min(64, n // 4) + 1))
@@ -237,7 +237,7 @@ def measure(text: str | None, common: frozenset[str]) -> tuple:
     words = len(latin) + cjk + int(((kinds_at[1:] == 3) & (kinds_at[:-1] != 3)).sum()) + int(kinds_at[0] == 3)
     shared = sum(len(w) for w in latin if w in common)
     shared += sum(low.count(w) * len(w) for w in common if len(w) > 1 and CJK.match(w))
-    shared += int(np.isin(codes, [ord(w) for w in common if len(w) == 1 and CJK.match(w)]).sum())
+    shared += sum(text.count(w) for w in common if len(w) == 1 and CJK.match(w))
     paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
     share: Counter[str] = Counter()
     kinds = line_kinds(lines)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tanzaku.llm import knn, langid, leakage, lookalike, matching, packing, quality, split
-from tanzaku.tables import load
+from tanzaku.tables import load, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,7 +23,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return knn.all_vectors(load(spark, d, "plot_chunk", ["chunk_id", "vec"]), load(spark, d, "vectors", ["k", "dim", "vec"]))
+    return knn.all_vectors(spread(load(spark, d, "plot_chunk", ["chunk_id", "vec"])), load(spark, d, "vectors", ["k", "dim", "vec"]))
 
 
 @query
@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "plot_chunk", ["chunk_id", "text", "section"])
+    return spread(load(spark, d, "plot_chunk", ["chunk_id", "text", "section"]))
 
 
 @query
@@ -58,7 +58,7 @@ def _common(spark: SparkSession, d: str) -> list[str]:
 
 
 def _statistics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.document_statistics(load(spark, d, "documents", ["doc_id", "text"]), "doc_id", "text", _common(spark, d))
+    return quality.document_statistics(spread(load(spark, d, "documents", ["doc_id", "text"])), "doc_id", "text", _common(spark, d))
 
 
 @query
@@ -79,7 +79,8 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     a = load(spark, d, "anime_profile", ["subject_id", "summary", "summary_lang"]).toDF("rec_key", "text", "label").withColumn("rec_table", F.lit("anime_profile"))
     b = load(spark, d, "translation", ["src_sha", "src", "src_lang"]).toDF("rec_key", "text", "label").withColumn("rec_table", F.lit("translation"))
     both = a.withColumn("rec_key", F.col("rec_key").cast("string")).unionByName(b).where("text is not null and rec_key is not null")
-    return both.dropDuplicates(["rec_table", "rec_key"])
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a stated number: what follows costs far more than reading
+    return both.repartition(n, "rec_table", "rec_key").dropDuplicates(["rec_table", "rec_key"])
 
 
 def _stretches(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +143,7 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     items = load(spark, d, "eval_item", ["item_id", "lang", "passage"])
-    return leakage.leaks(load(spark, d, "documents", ["doc_id", "text"]), "doc_id", "text", items, "item_id", "lang", "passage")
+    return leakage.leaks(spread(load(spark, d, "documents", ["doc_id", "text"])), "doc_id", "text", items, "item_id", "lang", "passage")
 
 
 @query
