@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,37 +40,41 @@ def keeps_table(cjk: Column, cells: Column) -> Column:
     return (cjk >= TABLE_CJK) & (cells <= TABLE_CELLS) & (cjk / F.greatest(cells, F.lit(1)) >= TABLE_PER_CELL)
 
 
+SENTENCE = re.compile(r"[^。！？!?…\n]*[。！？!?…\n]|[^。！？!?…\n]+$")
+
+
+@lru_cache
+def _overlong(most: int) -> re.Pattern[str]:
+    """The longest start of a text that ends at a secondary mark in the second half of ``most`` characters, else one more than ``most``."""
+    return re.compile(rf"(?s).{{{most // 2},{most - 1}}}[，、；)）】」』 ]|.{{{most + 1}}}")
+
+
 def sentences(text: str, most: int = MOST) -> list[str]:
-    """Pieces of a text behind sentence ends and line ends; overlong ones are cut at secondary marks of their second half, or at ``most``."""
+    """Pieces of a text behind sentence ends and line ends, overlong ones cut once more; blank ones are left out."""
     out: list[str] = []
-    for part in re.findall(r"[^。！？!?…\n]*[。！？!?…\n]|[^。！？!?…\n]+$", text):
-        while len(part) > most:
-            at = max(part.rfind(c, 0, most) for c in "，、；)）】」』 ")
-            at = at if at >= most // 2 else most
-            out.append(part[: at + 1])
-            part = part[at + 1 :]
-        if part.strip():
-            out.append(part)
-    return out
+    for found in SENTENCE.finditer(text):
+        at, end = found.span()
+        while end - at > most:
+            head = _overlong(most).match(text, at, end)
+            out.append(head.group())
+            at = head.end()
+        out.append(text[at:end])
+    return [s for s in out if not s.isspace()]
 
 
 def pack_sentences(blocks: list[str], target: int = TARGET, most: int = MOST, least: int = LEAST) -> list[str]:
     """Greedy chunks of about ``target`` characters; a short tail joins the chunk before it, which may then exceed ``most`` by less than ``least``."""
-    chunks: list[str] = []
-    held = ""
-    for s in (s for b in blocks for s in sentences(b, most)):
-        if len(held) + len(s) > most and len(held) >= least:
-            chunks.append(held.strip())
-            held = ""
-        held += s
-        if len(held) >= target:
-            chunks.append(held.strip())
-            held = ""
-    tail = held.strip()
-    if tail and chunks and len(tail) < least:
-        chunks[-1] += tail
-    elif tail:
-        chunks.append(tail)
+    groups: list[list[str]] = []
+    size = target  # as if full, so that the first sentence opens a group
+    for s in chain.from_iterable(sentences(b, most) for b in blocks):
+        if size >= target or size >= least and size + len(s) > most:
+            groups.append([])
+            size = 0
+        groups[-1].append(s)
+        size += len(s)
+    chunks = [c for c in ("".join(g).strip() for g in groups) if c]
+    if len(chunks) > 1 and len(chunks[-1]) < least:
+        chunks[-2:] = [chunks[-2] + chunks[-1]]
     return chunks
 
 
