@@ -16,7 +16,11 @@ def load(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | N
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan of few files over all cores, ahead of costly functions; one of many splits stays as it is."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n // 2 else df
+def few_splits(scan: DataFrame) -> bool:
+    """Whether a scan has so few splits that most cores would idle."""
+    return scan._jdf.queryExecution().toRdd().getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism // 2
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of few splits over all cores, ahead of costly functions; one of many stays as it is."""
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism) if few_splits(scan) else scan
