@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tanzaku.llm import knn, langid, leakage, lookalike, matching, packing, quality, split
-from tanzaku.tables import load, spread
+from tanzaku.tables import few_splits, load, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,8 +79,9 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     a = load(spark, d, "anime_profile", ["subject_id", "summary", "summary_lang"]).toDF("rec_key", "text", "label").withColumn("rec_table", F.lit("anime_profile"))
     b = load(spark, d, "translation", ["src_sha", "src", "src_lang"]).toDF("rec_key", "text", "label").withColumn("rec_table", F.lit("translation"))
     both = a.withColumn("rec_key", F.col("rec_key").cast("string")).unionByName(b).where("text is not null and rec_key is not null")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a stated number: what follows costs far more than reading
-    return both.repartition(n, "rec_table", "rec_key").dropDuplicates(["rec_table", "rec_key"])
+    once = both.dropDuplicates(["rec_table", "rec_key"])  # combined before the shuffle, so copies of one key never meet
+    n = spark.sparkContext.defaultParallelism
+    return once.repartition(n) if few_splits(a) and few_splits(b) else once
 
 
 def _stretches(spark: SparkSession, d: str) -> DataFrame:
