@@ -9,7 +9,7 @@ from tanzaku.functions import text as T
 from tanzaku.operators import chunking as C
 from tanzaku.operators import routing as Q
 from tanzaku.plans.registry import query
-from tanzaku.plans.selecting import works
+from tanzaku.plans.selecting import PROFILE, works
 from tanzaku.tables import load
 
 TODAY = "2026-08-21"
@@ -163,7 +163,10 @@ def history_window(spark, d):
     return g.select("user_id", F.array_join(F.transform("l", lambda y: y["x"]), ">").alias("history"))
 
 
-@query()
+STRIPPED = r"regexp_replace(lower({}), '[\p{{P}}\p{{S}}\p{{Z}}\p{{C}}]', '', 'g')"
+
+
+@query(f"with p as ({PROFILE}), k as (select subject_id, {STRIPPED.format('summary')} s, {STRIPPED.format("coalesce(name, '')")} a, {STRIPPED.format("coalesce(name_cn, '')")} b from p where summary is not null) select subject_id, s = a or (length(s) <= 12 and (contains(s, a) or contains(a, s))) or s = b or (length(s) <= 12 and (contains(s, b) or contains(b, s))) echo from k")
 def name_echo_filter(spark, d):
     w = works(spark, d, ["name", "name_cn", "summary"]).where("summary is not null")
     k = w.select("subject_id", T.stripped_key(F.col("summary")).alias("s"), T.stripped_key(F.coalesce("name", F.lit(""))).alias("a"), T.stripped_key(F.coalesce("name_cn", F.lit(""))).alias("b"))
