@@ -193,3 +193,16 @@ def p2_neighbors(spark: SparkSession, d: str) -> DataFrame:
     """The 10 nearest chunks of every chunk whose id is divisible by 50, against all rows, with many more leaves visited than for all pairs."""
     vectors = knn.usable_vectors(load(spark, d, "plot_chunk", ["chunk_id", "vec"]), "chunk_id", "vec", "plot_chunk")
     return knn.nearest_keys(vectors, "cast(key as bigint) % 50 = 0", knn.Params(stages=16, beam=2, probes=64, rerank=160)).select(F.col("key").cast("long").alias("chunk_id"), F.col("other").cast("long").alias("other"), "cos", "position")
+
+
+def _look_sql(value: str) -> str:
+    """The skeleton of a value with composed marks, for an engine without collations of the same rules."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    out = f"regexp_replace(regexp_replace({value}, {quoted(lookalike.INVISIBLE)}, '', 'g'), {quoted(lookalike.BLANK)}, ' ', 'g')"
+    for sign, letters in lookalike.SEVERAL.items():
+        out = f"replace({out}, {quoted(sign)}, {quoted(letters)})"
+    return f"nfc_normalize(translate({out}, {quoted(lookalike.FROM)}, {quoted(lookalike.TO)}))"
+
+
+_FIELDS = "select distinct 'alias.name' field_name, id as key, name as v from alias where name is not null union all select distinct 'alias.norm_name', id, norm_name from alias where norm_name is not null union all select distinct 'moegirl_page.title', pageid, title from moegirl_page where title is not null"
+ORACLES["p4_found"] = f"with f as ({_FIELDS}), l as (select *, {_look_sql('v')} look from f) select distinct a.field_name, a.key key_a, b.key key_b from l a join l b on a.field_name = b.field_name and a.look = b.look and a.key < b.key and a.v <> b.v"
