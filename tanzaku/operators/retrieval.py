@@ -26,7 +26,8 @@ def candidate_mentions(questions: DataFrame, names: DataFrame) -> DataFrame:
     ``questions``: qid, key; ``names``: name (keys of 2 to 16 characters). Nulls match nothing.
     """
     subs = questions.select("qid", "key", F.explode(T.substrings(F.col("key"), MENTION_MIN, MENTION_MAX)).alias("name"))
-    return subs.join(names.select("name").distinct(), "name").select("qid", "key", "name")
+    # the planner takes exploded substrings for as small as their questions: the dictionary is hashed, never they
+    return subs.join(names.select("name").distinct().hint("shuffle_hash"), "name").select("qid", "key", "name")
 
 
 def longest_spans(spans: Column) -> Column:
