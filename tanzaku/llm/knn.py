@@ -306,10 +306,11 @@ def neighbours(reps: DataFrame, p: Params = Params(), least: float = -1.5, query
     return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= p.k).drop("r")
 
 
-def key_lists(reps: DataFrame, near: DataFrame, k: int) -> DataFrame:
+def key_lists(reps: DataFrame, near: DataFrame, k: int, asked: DataFrame | None = None) -> DataFrame:
     """(coll, key, others array<struct<cos, key>>): the ``k`` nearest keys of each listed key, copies first.
 
-    Lists exist for the first ``k`` + 1 keys of a group of copies; what lies beyond is in nobody's list.
+    Lists exist for the first ``k`` + 1 keys of a group of copies, what lies beyond is in nobody's list; or,
+    with ``asked`` (id, coll, key), for each of its keys, however many copies come before it.
     """
     names = reps.select(F.col("id").alias("other"), F.col("keys").alias("other_keys"))
     told = near.join(names, "other").groupBy("id").agg(F.collect_list(F.struct("cos", "other_keys")).alias("near"))  # k entries at most
@@ -318,7 +319,9 @@ def key_lists(reps: DataFrame, near: DataFrame, k: int) -> DataFrame:
         "array_sort(concat(transform(keys, x -> struct(-1.0D as far, x as key)),"
         " flatten(transform(coalesce(near, array()), n -> transform(n.other_keys, x -> struct(-cast(n.cos as double) as far, x as key))))))"
     )
-    return joined.withColumn("cand", cand).select("coll", F.explode("keys").alias("key"), "cand").select(
+    ranked = joined.withColumn("cand", F.slice(cand, 1, k + 1))  # a key is itself in its list at most once
+    listed = ranked.select("coll", F.explode("keys").alias("key"), "cand") if asked is None else ranked.select("id", "cand").join(asked, "id")
+    return listed.select(
         "coll", "key", F.expr(f"transform(slice(filter(cand, c -> c.key != key), 1, {k}), c -> struct(-c.far as cos, c.key as key))").alias("others")
     )
 
@@ -340,8 +343,11 @@ def nearest_keys(vectors: DataFrame, asked: str, p: Params = Params()) -> DataFr
     """(coll, key, other, cos, position): the ``k`` nearest keys of the keys for which the predicate ``asked`` over (coll, key) holds.
 
     Queries are few beside the rows searched, so that they can visit many leaves; only they are copied, rows stay in one leaf.
+    Every asked key gets its list, also one that is none of the ``k`` + 1 smallest of its group of copies.
     """
     reps = stored(representatives(vectors, p.k), "knn-reps")
-    near = neighbours(reps, p, query_filter=f"exists(keys, key -> {asked})")
-    lists = key_lists(reps, near, p.k).where(asked)
+    keys = stored(vectors.where(asked).distinct().join(reps.select("id", "coll", "payload"), ["coll", "payload"]).select("id", "coll", "key"), "knn-asked")
+    marked = reps.join(keys.select("id", F.lit(True).alias("is_asked")).distinct(), "id", "left")
+    near = neighbours(stored(marked, "knn-marked"), p, query_filter="is_asked is not null")
+    lists = key_lists(reps, near, p.k, keys)
     return lists.select("coll", "key", F.posexplode("others").alias("position", "o")).select("coll", "key", F.col("o.key").alias("other"), F.round("o.cos", 6).alias("cos"), (F.col("position") + 1).cast("long").alias("position"))

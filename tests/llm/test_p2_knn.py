@@ -62,6 +62,16 @@ def test_copies_and_unusable_rows(spark):
     assert not {i for p in got for i in p} & {100, 101, 102, 103, 104, 105}
 
 
+def test_lists_of_every_asked_copy(spark):
+    x = _rows(60)
+    x[5:40] = x[4]  # thirty-six copies of one vector; the asked ones are mostly beyond the eleven smallest keys
+    got = knn.nearest_keys(knn.usable_vectors(_frame(spark, x), "chunk_id", "vec", "c"), "cast(key as bigint) % 3 = 0", knn.Params(leaf_rows=16, probes=8)).collect()
+    lists = {k: [r.other for r in sorted((r for r in got if r.key == k), key=lambda r: r.position)] for k in {r.key for r in got}}
+    assert set(lists) == {str(i) for i in range(0, 60, 3)} and all(len(v) == 10 for v in lists.values())
+    copies = sorted(map(str, range(4, 40)))
+    assert all(lists[k] == [c for c in copies if c != k][:10] for k in lists if k in copies)
+
+
 def test_binary_vectors_and_empty_input(spark):
     x = _rows(60)
     rows = [(f"k{i}", 96, bytearray(r.astype("<f4").tobytes())) for i, r in enumerate(x)] + [("bad", 96, bytearray(b"abc")), ("dim", 95, bytearray(x[0].astype("<f4").tobytes())), ("none", 96, None)]
