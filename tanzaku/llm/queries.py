@@ -188,11 +188,14 @@ ORACLES["p6_found"] = "select distinct doc_id from documents where strlen(text)
 # ---------------------------------------------------------------- 2: lists for a stated set of queries
 
 
+#: The stated queries: chunks whose id is divisible by 50, and texts whose digest's first 8 hex digits, read as a number, are.
+ASKED = "case coll when 'vectors' then try_cast(conv(left(key, 8), 16, 10) as bigint) % 50 = 0 else try_cast(key as bigint) % 50 = 0 end"
+
+
 @query
 def p2_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    """The 10 nearest chunks of every chunk whose id is divisible by 50, against all rows, with many more leaves visited than for all pairs."""
-    vectors = knn.usable_vectors(load(spark, d, "plot_chunk", ["chunk_id", "vec"]), "chunk_id", "vec", "plot_chunk")
-    return knn.nearest_keys(vectors, "cast(key as bigint) % 50 = 0", knn.Params(stages=16, beam=2, probes=64, rerank=160)).select(F.col("key").cast("long").alias("chunk_id"), F.col("other").cast("long").alias("other"), "cos", "position")
+    """The 10 nearest keys of every key of ``ASKED`` among all rows of its collection, with many more leaves visited than for all pairs."""
+    return knn.nearest_keys(_vectors(spark, d), ASKED, knn.Params(stages=16, beam=2, probes=64, rerank=160))
 
 
 def _look_sql(value: str) -> str:

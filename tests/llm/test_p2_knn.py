@@ -72,6 +72,23 @@ def test_lists_of_every_asked_copy(spark):
     assert all(lists[k] == [c for c in copies if c != k][:10] for k in lists if k in copies)
 
 
+def test_query_lists_both_collections(spark, tmp_path):
+    from tanzaku.llm.queries import p2_neighbors
+
+    x = _rows(400)
+    _frame(spark, x).write.parquet(f"{tmp_path}/plot_chunk.parquet")
+    texts = [(f"{i:08x}" + "ab" * 28, 96, bytearray(v.astype("<f4").tobytes())) for i, v in enumerate(x[::-1])]
+    spark.createDataFrame(texts, "k string, dim int, vec binary").write.parquet(f"{tmp_path}/vectors.parquet")
+    rows = p2_neighbors(spark, str(tmp_path)).collect()
+    asked = {(r.coll, r.key) for r in rows}
+    assert asked == {("plot_chunk", str(i)) for i in range(0, 400, 50)} | {("vectors", texts[i][0]) for i in range(0, 400, 50)}
+    assert len(rows) == 10 * len(asked) and all(len(r.other) == (64 if r.coll == "vectors" else len(str(int(r.other)))) for r in rows)
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True))[::-1]
+    for i in range(0, 400, 50):
+        want = [texts[j][0] for j in np.argsort(-(u @ u[i]), kind="stable") if j != i][:10]
+        assert len(set(want) & {r.other for r in rows if r.key == texts[i][0]}) >= 9
+
+
 def test_binary_vectors_and_empty_input(spark):
     x = _rows(60)
     rows = [(f"k{i}", 96, bytearray(r.astype("<f4").tobytes())) for i, r in enumerate(x)] + [("bad", 96, bytearray(b"abc")), ("dim", 95, bytearray(x[0].astype("<f4").tobytes())), ("none", 96, None)]
