@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+REPEATS = 4  #: a line of prose that comes so many times is one phrase over and over
 MAX_COMMON = 100_000  #: most common words that are handed to the tasks
 
 TERMINAL = re.compile(r"[.。！？!?…～~♪][\"'”’」』】）)\]〉》]*(\s*[(（][^()（）]{1,8}[)）])?\s*$|[\"”」』]\s*$")
@@ -26,6 +27,7 @@ RULE_LINE = re.compile(r"^\s*(?:\{\||\|\}|\|-+|\|\+.*|!.*!!.*|[|+:\-\s=]{3,})\s*
 COMMA = re.compile(r"[，、,;；]")
 PAIRED = re.compile(r"[:：]\s*\S|[「『][^」』]+[」』]")
 QUOTE = re.compile(r"^\s*>+ ?")
+END_CODES = np.array([ord(c) for c in ".。！？!?…"], np.uint32)
 CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿가-힯]")
 LATIN = re.compile(r"[^\W\d_぀-ヿ㐀-鿿豈-﫿가-힯]+")
 HEX = re.compile(r"^(?=.*\d)[0-9a-f]{4,}$", re.I)
@@ -103,6 +105,39 @@ def _period(chars: np.ndarray) -> bool:
     return any((chars[:-p] == chars[p:]).sum() >= 0.9 * (n - p) for p in range(1, min(64, n // 4) + 1))
 
 
+def repeated_chars(chars: np.ndarray) -> int:
+    """How many of the characters lie in stretches that say one phrase four times or more, whatever its length.
+
+    Periods are read off the distances between equal 8-grams. A phrase has one sentence end at most: a
+    passage of several sentences that comes again is a copy, not a phrase.
+    """
+    n, h, best = len(chars), chars.astype(np.uint64) + np.uint64(1), 0
+    if n < 16:
+        return 0
+    with np.errstate(over="ignore"):
+        for size in (1, 2, 4):
+            h = h[:-size] * np.uint64(0x9E3779B97F4A7C15) + (h[size:] ^ (h[size:] >> np.uint64(17)))
+    order = np.argsort(h, kind="stable")
+    gaps = np.diff(order)[h[order[1:]] == h[order[:-1]]]
+    times = np.bincount(gaps[gaps <= n // 4]) if len(gaps) >= n // 8 else np.empty(0, np.int64)
+    if not len(times):
+        return 0
+    stop = np.isin(chars, END_CODES) & ~((chars == ord(".")) & np.append((CLASS[chars[1:]] == 3), False))
+    ends = np.append(0, np.cumsum(stop & ~np.append(stop[1:], False)))
+    for p in np.argsort(-times, kind="stable")[:3].tolist():
+        if p == 0 or times[p] < n // 16:
+            continue
+        same = chars[:-p] == chars[p:]
+        if same.sum() >= 0.9 * (n - p) and ends[-1] <= 1.25 * n / p:
+            return n
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
+        start, stop_ = edge[::2], edge[1::2]
+        long = stop_ - start >= 3 * p
+        one = ends[start[long] + p] - ends[start[long]] <= 1
+        best = max(best, int((stop_ - start + p)[long][one].sum()))
+    return min(best, n)
+
+
 ODD = re.compile(r"[bcdfghjklmnpqrstvwxz]{4}|[aeiouy]{4}|q(?!u)|^[bcdfghjklmnpqrstvwxz]{3}|[bcdfgjkpqvwxz]{3}|[jqvx]$|[jqvwxz][bcdfgjkmpqtvwxz]")
 FINE = re.compile(r"^(?:str|spr|scr|spl|thr|sch|shr|phr|chr)|ghts?$|tch|x[ct]")
 
@@ -241,12 +276,16 @@ def measure(text: str | None, common: frozenset[str]) -> tuple:
     paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
     share: Counter[str] = Counter()
     kinds = line_kinds(lines)
-    if _junk(text, common, codes, sum(k == "table" for k in kinds) > 0.5 * len(full)):
+    rows = sum(k == "table" for k in kinds) > 0.5 * len(full)
+    if _junk(text, common, codes, rows):
         share["junk"] = n
+    elif not rows and (again := repeated_chars(codes[kinds_at > 0])) > 0.5 * n:
+        share["junk"] = again
     else:
+        times = Counter(full)
         doubtful = counts[5] + counts[8] + counts[6] + counts[10] + counts[4] + counts[3] + (counts[2] if counts[2] < 0.9 * n else 0) > 0.25 * n or len(full) - len(set(full)) > 0
         for line, kind in zip(lines, kinds):
-            if kind == "prose" and doubtful and _junk(line, common):
+            if kind == "prose" and (times[line.strip()] >= REPEATS or doubtful and _junk(line, common)):
                 kind = "junk"
             if kind not in ("prose", "blank"):
                 share[kind] += _weight(line)

@@ -35,6 +35,27 @@ def test_kinds(text, kind):
     assert Q.measure(text, COMMON)[-1] == kind
 
 
+SENTENCE_50 = "".join(chr(i) for i in range(0x4E00, 0x9FA6) if Q.CLASS[i] == 7)[::130][:49] + "。"
+LONG_EN = "To win back the red scarf that was taken from her, she sets out alone for the old station high above the clouds."
+VARIED = " ".join(f"On day {i} the {a} of the {b} was lost, and {c} went to look for it." for i, (a, b, c) in enumerate(zip("bell map scarf sword door lamp".split(), "town tower river school harbour valley".split(), "Rimin Noel Mirea Fisha Aisha Lydia".split())))
+
+
+@pytest.mark.parametrize("sep", ["", "\n", "\n\n"])
+@pytest.mark.parametrize("text", [SENTENCE_50, LONG_EN])
+def test_long_phrases_over_and_over(text, sep):
+    assert Q.measure((text + (sep or " ")) * 20, COMMON)[-1] == "junk"
+
+
+def test_most_of_a_document_repeats():
+    line = "Loading the next page, please wait a moment."
+    rest = VARIED[: int(len("".join(line.split())) * 12 * 0.75)]
+    assert Q.measure("\n".join([line] * 12) + "\n" + rest, COMMON)[-1] == "junk"
+    assert Q.measure((line + " ") * 12 + rest, COMMON)[-1] == "junk"
+    halves = rest.split(". ")
+    assert Q.measure("\n".join(f"{line}\n{halves[i % len(halves)] if i % 3 == 0 else line}" for i in range(12)), COMMON)[-1] == "junk"
+    assert Q.measure(VARIED + "\n" + line + "\n" + VARIED[::-1][:10] + "\n" + line, COMMON)[-1] == "prose"
+
+
 def test_statistics():
     names = [n for n, _ in Q.STATS]
     got = dict(zip(names, Q.measure("The bell is in the map.\nThe bell is in the map.\n- a map", COMMON)))
