@@ -1,0 +1,30 @@
+"""Queries over whole tables against the SQL of their smaller namesakes, its restriction taken out, on the smallest tables."""
+
+from __future__ import annotations
+
+import pytest
+
+from tanzaku.plans.catalogue import ORACLES, QUERIES
+from tests.test_differential import DATA, _plain, engine  # noqa: F401
+
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no tables")
+
+#: The restriction in the SQL of each query that ``NAME_whole`` does without.
+CUTS = {
+    "series_root_closure": [" where o_custkey % 10 = 0"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(CUTS))
+def test_whole_tables(spark, engine, name):  # noqa: F811
+    sql = ORACLES[name]
+    for cut in CUTS[name]:
+        assert cut in sql
+        sql = sql.replace(cut, "")
+    df = QUERIES[f"{name}_whole"](spark, str(DATA))
+    rel = engine.execute(sql)
+    cols = [x[0] for x in rel.description]
+    assert sorted(cols) == sorted(df.columns)
+    want = sorted((tuple(map(_plain, r)) for r in rel.fetchall()), key=repr)
+    assert sorted((tuple(_plain(r[c]) for c in cols) for r in df.collect()), key=repr) == want
+    assert len(want) > QUERIES[name](spark, str(DATA)).count()
