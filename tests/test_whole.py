@@ -12,6 +12,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no tables")
 #: The restriction in the SQL of each query that ``NAME_whole`` does without.
 CUTS = {
     "series_root_closure": [" where o_custkey % 10 = 0"],
+    "html_links": [" and pageid % 4 = 0"],
 }
 
 
@@ -28,3 +29,8 @@ def test_whole_tables(spark, engine, name):  # noqa: F811
     want = sorted((tuple(map(_plain, r)) for r in rel.fetchall()), key=repr)
     assert sorted((tuple(_plain(r[c]) for c in cols) for r in df.collect()), key=repr) == want
     assert len(want) > QUERIES[name](spark, str(DATA)).count()
+
+
+def test_sections_of_every_page(spark):
+    got = {r.pageid for r in QUERIES["html_sections"](spark, str(DATA)).select("pageid").collect()}
+    assert got == {r.pageid for r in spark.read.parquet(f"{DATA}/plot_chunk.parquet").where("pageid is not null").select("pageid").distinct().collect()}
