@@ -6,6 +6,8 @@ bounded by quotas before they meet.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,47 @@ def recall(queries: DataFrame, chunks: DataFrame, quotas: dict[str, int] | None
     return r.where(F.col("rn") <= F.element_at(quota, F.col("layer")))
 
 
+def recall_many(queries: DataFrame, chunks: DataFrame, quotas: dict[str, int] | None = None, spoiler: bool = False, query_block: int = 4096, chunk_block: int = 40_000) -> DataFrame:
+    """What ``recall`` gives, for very many questions: blocks of questions meet blocks of chunks as matrices.
+
+    Both sides are cut by hash, so a task holds one block of each of one root; a block keeps no more than the
+    quota of each question and layer. All questions meet all chunks of their root, whatever that costs.
+    """
+    quotas = quotas or QUOTAS
+    c = chunks if spoiler else chunks.where("spoiler_level = 0")
+    c = c.where("vec is not null").where(F.col("layer").isin(*quotas))
+    nq, nc = 1 + queries.count() // query_block, 1 + c.count() // chunk_block
+    cut = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("root", "qid", "qvec", cut("qid", nq).alias("qb"), every(nc).alias("cb"))
+    right = c.select("root", "chunk_id", "layer", "vec", cut("chunk_id", nc).alias("cb"), every(nq).alias("qb"))
+
+    def matrix(x: pa.ChunkedArray, n: int) -> np.ndarray:
+        return np.asarray(x.combine_chunks().flatten(), np.float64).reshape(n, -1)
+
+    def best(q: pa.Table, t: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if q.num_rows and t.num_rows:
+            t = t.sort_by("chunk_id")  # ties go to the smaller id
+            qid, qv = np.asarray(q.column("qid")), matrix(q.column("qvec"), q.num_rows)
+            cid, cv, layers = np.asarray(t.column("chunk_id")), matrix(t.column("vec"), t.num_rows), np.asarray(t.column("layer").to_pylist())
+            for layer, quota in quotas.items():
+                at = np.flatnonzero(layers == layer)
+                for lo in range(0, len(qid) if len(at) else 0, 256):
+                    score = np.round(qv[lo : lo + 256] @ cv[at].T, 9)
+                    order = np.argsort(-score, axis=1, kind="stable")[:, :quota]
+                    out.append((np.repeat(qid[lo : lo + 256], order.shape[1]), cid[at][order].ravel(), [layer] * order.size, np.take_along_axis(score, order, 1).ravel()))
+        cols = [np.concatenate([o[i] for o in out]) if out else [] for i in range(4)]
+        return pa.table([pa.array(x, kind) for x, kind in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.float64()))], names=["qid", "chunk_id", "layer", "score"])
+
+    keys = ["root", "qb", "cb"]
+    s = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "qid long, chunk_id long, layer string, score double")
+    w = Window.partitionBy("qid", "layer").orderBy(F.col("score").desc_nulls_last(), "chunk_id")
+    quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
+    r = s.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(quotas.values()))
+    return r.where(F.col("rn") <= F.element_at(quota, F.col("layer")))
+
+
 def pinned(wanted: DataFrame, chunks: DataFrame, limit: int = MAX_PINNED) -> DataFrame:
     """(qid, chunk_id, position): chunks of the named characters in order of character and chunk number.
 

@@ -81,6 +81,14 @@ def recall_quota(spark, d):
     return _recalled(spark, d).select("qid", "chunk_id", "layer", F.col("rn").cast("long").alias("rn"), F.round("score", 6).alias("score"))
 
 
+@query()
+def recall_quota_whole(spark, d):
+    """Of every chunk whose id is divisible by 50; the query above is the part that its SQL covers."""
+    c = _chunks(spark, d)
+    q = c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("qid"), "root", F.col("vec").alias("qvec"))
+    return R.recall_many(q, c).select("qid", "chunk_id", "layer", F.col("rn").cast("long").alias("rn"), F.round("score", 6).alias("score"))
+
+
 PINNED = "w as (select distinct character_id % 7 qid, character_id from plot_chunk where character_id is not null and character_id % 3 = 0), pc as (select distinct chunk_id, character_id, chunk_no from plot_chunk), pinned as (select qid, chunk_id, row_number() over (partition by qid order by character_id, chunk_no, chunk_id) as position from pc join w using (character_id) qualify position <= 40)"
 
 
@@ -102,6 +110,14 @@ def merge_keep_first(spark, d):
     return R.keep_first([_pinned(spark, d).where("qid < 3"), b], "qid", "chunk_id", "position")
 
 
+@query()
+def merge_keep_first_whole(spark, d):
+    """Of the whole lists; the query above is the part that its SQL covers."""
+    b = load(spark, d, "plot_chunk", ["chunk_id"]).distinct()
+    b = b.select((F.col("chunk_id") % 3).cast("int").alias("qid"), "chunk_id", F.col("chunk_id").alias("position"))
+    return R.keep_first([_pinned(spark, d), b], "qid", "chunk_id", "position")
+
+
 POOL = "pool as (select label, vec_id chunk_id, round(abs(embedding[1])::double * case when vec_id % 2 = 0 then 1.0::double else 0.2::double end, 9) score, vec_id % 6 = 0 pinned, vec_id % 11 = 5 seat from embeddings)"
 
 

@@ -16,6 +16,7 @@ CUTS = {
     "series_root_closure": [" where o_custkey % 10 = 0"],
     "credits_aggregate": [" where l_partkey % 20 = 0"],
     "json_nested_scan": [" where event_id % 10 = 0"],
+    "merge_keep_first": [" where qid < 3", " where chunk_id <= 60"],
     "roles_of": [" where l_suppkey <= 20"],
     "voices_three_way": [" where l_partkey <= 50"],
     "quarter_functions": [" where o_orderkey % 50 = 0"],
@@ -46,3 +47,12 @@ def test_whole_tables(spark, engine, name):  # noqa: F811
 def test_sections_of_every_page(spark):
     got = {r.pageid for r in QUERIES["html_sections"](spark, str(DATA)).select("pageid").collect()}
     assert got == {r.pageid for r in spark.read.parquet(f"{DATA}/plot_chunk.parquet").where("pageid is not null").select("pageid").distinct().collect()}
+
+
+def test_recall_of_every_fiftieth_chunk(spark, engine):  # noqa: F811
+    old = "chunk_id in (select chunk_id from c order by chunk_id limit 4)"
+    assert old in ORACLES["recall_quota"]
+    want = engine.execute(ORACLES["recall_quota"].replace(old, "chunk_id % 50 = 0")).fetchall()
+    got = QUERIES["recall_quota_whole"](spark, str(DATA)).select("qid", "chunk_id", "layer", "rn", "score").collect()
+    assert len({r.qid for r in got}) > 4
+    assert sorted(tuple(map(_plain, r)) for r in got) == sorted(tuple(map(_plain, r)) for r in want)
