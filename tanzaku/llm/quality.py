@@ -11,12 +11,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tanzaku.llm.langid import SEEDS
+
 REPEATS = 4  #: a line of prose that comes so many times is one phrase over and over
 MAX_COMMON = 100_000  #: most common words that are handed to the tasks
 
@@ -81,92 +83,164 @@ def _weight(s: str) -> int:
     return len("".join(s.split()))
 
 
-def top_ngram_share(chars: np.ndarray) -> float:
-    """Largest share of the characters that one n-gram of 4, 8, 16, 32 or 64 characters covers, without overlaps."""
-    n, best, h, size = len(chars), 0.0, chars.astype(np.uint64) + np.uint64(1), 1
-    while n >= 3 * size and size <= 64:
-        if size >= 4:
-            times = int(np.unique(h, return_counts=True)[1].max())
-            if times < 3:
-                break
-            best = max(best, min(times, n // size) * size / n)
-        with np.errstate(over="ignore"):
-            h = h[:-size] * np.uint64(0x9E3779B97F4A7C15) + (h[size:] ^ (h[size:] >> np.uint64(17)))
-        size *= 2
-    return best
+def _edges(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of true values."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], on.astype(np.int8), [0]))))
+    return edge[::2], edge[1::2]
 
 
-def _period(chars: np.ndarray) -> bool:
-    """Whether the characters repeat one short phrase over and over."""
-    n = len(chars)
-    kinds = int((np.bincount(chars) > 0).sum())
-    if n < 16 or kinds > 40:
-        return n >= 6 and kinds == 1
-    return any((chars[:-p] == chars[p:]).sum() >= 0.9 * (n - p) for p in range(1, min(64, n // 4) + 1))
+def _double(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the ``2 * size``-grams from those of the ``size``-grams."""
+    with np.errstate(over="ignore"):
+        return h[:-size] * np.uint64(0x9E3779B97F4A7C15) + (h[size:] ^ (h[size:] >> np.uint64(17)))
 
 
-def repeated_chars(chars: np.ndarray) -> int:
-    """How many of the characters lie in stretches that say one phrase four times or more, whatever its length.
+def repetition(chars: np.ndarray) -> tuple[float, int]:
+    """(largest share of the characters that one n-gram covers, characters in stretches that say one phrase four times or more).
 
-    Periods are read off the distances between equal 8-grams. A phrase has one sentence end at most: a
-    passage of several sentences that comes again is a copy, not a phrase.
+    n-grams of 4 characters, or 8 in texts of 64 or more, and then twice as long as long as one comes three
+    times, without overlaps. Phrases may be of any length: their periods are read off the distances between
+    equal n-grams. A phrase has one sentence end at most, so a passage of several sentences that comes again is
+    a copy, not a phrase.
     """
-    n, h, best = len(chars), chars.astype(np.uint64) + np.uint64(1), 0
-    if n < 16:
-        return 0
-    with np.errstate(over="ignore"):
-        for size in (1, 2, 4):
-            h = h[:-size] * np.uint64(0x9E3779B97F4A7C15) + (h[size:] ^ (h[size:] >> np.uint64(17)))
+    n, size = len(chars), 4
+    if n >= 3 and (chars == chars[0]).all():
+        return 1.0, n if n >= 6 else 0
+    if n < 12:
+        return 0.0, 0
+    h = _double(_double(chars.astype(np.uint64) + np.uint64(1), 1), 2)
+    if n >= 64:
+        h, size = _double(h, 4), 8
     order = np.argsort(h, kind="stable")
-    gaps = np.diff(order)[h[order[1:]] == h[order[:-1]]]
-    times = np.bincount(gaps[gaps <= n // 4]) if len(gaps) >= n // 8 else np.empty(0, np.int64)
-    if not len(times):
-        return 0
+    first = h[order]
+    same = first[1:] == first[:-1]
+    if not same.any():
+        return 0.0, 0
+    top, times, width, g = 0.0, int(np.diff(np.flatnonzero(np.concatenate(([True], ~same, [True])))).max()), size, h
+    while times >= 3:
+        top = max(top, min(times, n // width) * width / n)
+        if n < 6 * width:
+            break
+        g = _double(g, width)
+        width *= 2
+        times = int(np.unique(g, return_counts=True)[1].max())
+    gaps = np.diff(order)[same]
+    votes = np.bincount(gaps[gaps <= n // 4]) if len(gaps) >= n // 8 else np.empty(0, np.int64)
+    if n < 16 or not len(votes):
+        return top, 0
     stop = np.isin(chars, END_CODES) & ~((chars == ord(".")) & np.append((CLASS[chars[1:]] == 3), False))
     ends = np.append(0, np.cumsum(stop & ~np.append(stop[1:], False)))
-    for p in np.argsort(-times, kind="stable")[:3].tolist():
-        if p == 0 or times[p] < n // 16:
+    best = 0
+    for p in np.argsort(-votes, kind="stable")[:3].tolist():
+        if p == 0 or votes[p] < n // 16:
             continue
-        same = chars[:-p] == chars[p:]
-        if same.sum() >= 0.9 * (n - p) and ends[-1] <= 1.25 * n / p:
-            return n
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
-        start, stop_ = edge[::2], edge[1::2]
+        again = chars[:-p] == chars[p:]
+        if again.sum() >= 0.9 * (n - p) and (ends[-1] <= 1.25 * n / p or p <= 4):
+            return top, n
+        start, stop_ = _edges(again)
         long = stop_ - start >= 3 * p
         one = ends[start[long] + p] - ends[start[long]] <= 1
         best = max(best, int((stop_ - start + p)[long][one].sum()))
-    return min(best, n)
+    return top, min(best, n)
 
 
-ODD = re.compile(r"[bcdfghjklmnpqrstvwxz]{4}|[aeiouy]{4}|q(?!u)|^[bcdfghjklmnpqrstvwxz]{3}|[bcdfgjkpqvwxz]{3}|[jqvx]$|[jqvwxz][bcdfgjkmpqtvwxz]")
-FINE = re.compile(r"^(?:str|spr|scr|spl|thr|sch|shr|phr|chr)|ghts?$|tch|x[ct]")
+class LetterModel:
+    """Which letters follow which in words of Latin letters: smoothed trigrams over ``SEEDS``, as log odds against letters at random.
 
+    Code points beyond a to z count as their base letter or as one further sign. ``odds`` is the mean per letter: above
+    zero for words of the languages, about ``chance`` for letters at random, in between for names of other languages.
+    """
 
-def _latin_noise(words: list[str]) -> bool:
-    """Whether Latin words are letters at random: few vowels where they belong, long runs of consonants."""
-    long = [w.lower() for w in words if len(w) >= 3]
-    return len(long) >= 5 and sum(1 for w in long if ODD.search(w) and not FINE.search(w)) >= 0.45 * len(long)
+    def __init__(self, texts: list[str]) -> None:
+        tri, bi, uni = np.full((28, 28, 28), 0.0), np.full((28, 28), 0.0), np.full(28, 1.0)
+        for word in re.findall(r"[^\W\d_]+", " ".join(texts).lower()):
+            c = self._letters(word)
+            for x, y, z in zip(c, c[1:], c[2:]):
+                tri[x, y, z] += 1
+                bi[y, z] += 1
+                uni[z] += 1
+        one = uni / uni.sum()
+        two = (bi + 6 * one) / (bi.sum(1, keepdims=True) + 6)
+        three = (tri + 3 * two) / (tri.sum(2, keepdims=True) + 3)
+        self.table = (np.log(three) - np.log(1 / 28)).astype(np.float32)
+        self.chance = float(self.table[1:27, 1:27, 1:27].mean())
+
+    @staticmethod
+    def _letters(word: str) -> list[int]:
+        plain = unicodedata.normalize("NFD", word) if not word.isascii() else word
+        return [0, 0, *(ord(c) - 96 if "a" <= c <= "z" else 27 for c in plain if unicodedata.category(c) != "Mn" or c.isascii()), 0]
 
+    def odds(self, words: list[str]) -> float:
+        c = np.array([x for w in words for x in self._letters(w)[1:]] or [0, 0, 0])
+        at = self.table[c[:-2], c[1:-1], c[2:]] if len(c) > 2 else np.zeros(1)
+        return float(at.mean())
 
-def _junk(text: str, common: frozenset[str], codes: np.ndarray | None = None, rows: bool = False) -> bool:
+
+LETTERS = LetterModel([SEEDS[x] for x in ("en", "fr", "de", "es")])
+
+
+def _latin_noise(words: list[str]) -> bool:
+    """Whether Latin words are letters at random."""
+    long = [w.lower() for w in words if len(w) >= 3]
+    return len(long) >= 5 and LETTERS.odds(long) < LETTERS.chance / 2
+
+
+class Common:
+    """Common words for lookups: those of alphabets as a set, those of CJK as hashes by length, found in one pass a length."""
+
+    def __init__(self, words: Iterable[str]) -> None:
+        self.words = frozenset(words)
+        self.single = np.zeros(65536, bool)
+        longer: dict[int, list[int]] = {}
+        for w in self.words:
+            if CJK.match(w):
+                c = _codes(w)
+                if len(c) == 1:
+                    self.single[c[0]] = True
+                else:
+                    longer.setdefault(len(c), []).append(self._hash(c, len(c))[0])
+        self.longer = {n: np.unique(np.array(x, np.uint64)) for n, x in longer.items()}
+
+    @staticmethod
+    def _hash(codes: np.ndarray, n: int) -> np.ndarray:
+        x, h = codes.astype(np.uint64), np.zeros(len(codes) - n + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(n):
+                h = h * np.uint64(0x100000001B3) + x[j : j + len(h)]
+        return h
+
+    def cover(self, codes: np.ndarray) -> int:
+        """How many characters lie in common words of CJK."""
+        on = self.single[codes]
+        for n, hashes in self.longer.items():
+            if len(codes) >= n:
+                h = self._hash(codes, n)
+                at = np.searchsorted(hashes, h)
+                for p in np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == h).tolist():
+                    on[p : p + n] = True
+        return int(on.sum())
+
+
+def _junk(text: str, common: Common, codes: np.ndarray | None = None, rows: bool = False, repeated: int | None = None) -> bool:
     """Whether there is nothing to read in ``text``: signs, broken coding, noise or, if it is no ``rows`` of a table, one phrase over and over."""
     codes = _codes(text) if codes is None else codes
     kinds = CLASS[codes]
     c = np.bincount(kinds, minlength=12)
     n = int(c[1:].sum())
+    again = repetition(codes[kinds > 0])[1] if repeated is None else repeated
     if n < 12:
-        return n - c[4] - c[10] > 0.5 * n and _period(codes[kinds > 0])
+        return n - c[4] - c[10] > 0.5 * n and again > 0.5 * n
     if n - c[4] - c[5] - c[10] < 0.45 * n or c[5] > 0.04 * n:
         return True
     if c[6] + c[10] > 0.3 * n and c[6] + c[10] > 0.6 * c[2]:
         return True
     if c[3] > 0.1 * n and sum(len(w) for w in re.split(r"[\s,;:|-]+", text) if HEX.match(w)) > 0.5 * n:
         return True
-    if not rows and _period(codes[kinds > 0]):
+    if not rows and again > 0.5 * n:
         return True
     if c[2] > 0.6 * n and _latin_noise(re.findall(r"[A-Za-z]+", text)):
         return True
-    return c[8] >= 12 and c[8] > 0.45 * (c[7] + c[8]) and c[7] + c[8] > 0.4 * n and c[9] == 0 and not any(w in text for w in common if CJK.match(w))
+    return c[8] >= 12 and c[8] > 0.45 * (c[7] + c[8]) and c[7] + c[8] > 0.4 * n and c[9] == 0 and not common.cover(codes)
 
 
 def _width(s: str) -> int:
@@ -256,36 +330,45 @@ def _wrapped(block: list[str]) -> bool:
     return full >= 0.85 * (len(block) - 1) and len(set(block)) == len(block) and any(re.search(r"[，、,；;：:]", x) for x in block)
 
 
-def measure(text: str | None, common: frozenset[str]) -> tuple:
-    """Values of ``STATS`` and the document's kind; a null or blank text is prose with zero counts."""
+def measure(text: str | None, common: Common | Iterable[str]) -> tuple:
+    """Values of ``STATS`` and the document's kind; a null or blank text is prose with zero counts.
+
+    Blocks of lines are lists, tables or prose by their look. Of what is not a list or a table the repetition
+    statistics decide: paragraphs and lines that come ``REPEATS`` times or more (duplicate shares) and, where one
+    n-gram dominates, the stretches that say one phrase over and over, are junk. A document is what most of its
+    characters are.
+    """
     if not text or text.isspace():
         return (len(text or ""), 0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, "prose")
+    common = common if isinstance(common, Common) else Common(common)
     codes = _codes(text)
     kinds_at = CLASS[codes]
     counts = np.bincount(kinds_at, minlength=12)
     n = int(counts[1:].sum())
     lines = text.splitlines()
-    full = [x.strip() for x in lines if x.strip()]
-    low = text.lower()
-    latin = LATIN.findall(low)
+    full = [x.strip() for x in lines if not x.isspace() and x]
+    latin = LATIN.findall(text.lower())
     cjk = int(counts[7] + counts[8] + counts[9] + counts[11])
-    words = len(latin) + cjk + int(((kinds_at[1:] == 3) & (kinds_at[:-1] != 3)).sum()) + int(kinds_at[0] == 3)
-    shared = sum(len(w) for w in latin if w in common)
-    shared += sum(low.count(w) * len(w) for w in common if len(w) > 1 and CJK.match(w))
-    shared += sum(text.count(w) for w in common if len(w) == 1 and CJK.match(w))
-    paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
+    digit = kinds_at == 3
+    words = len(latin) + cjk + int((digit[1:] & ~digit[:-1]).sum()) + int(digit[0])
+    shared = sum(len(w) for w in latin if w in common.words) + (common.cover(codes) if cjk else 0)
+    top, again = repetition(codes[kinds_at > 0])
+    times = Counter(full)
+    paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if not p.isspace() and p] if "\n" in text else [text]
+    blocks = Counter(paragraphs)
+    dup_lines, dup_paragraphs = 1 - len(times) / max(1, len(full)), 1 - len(blocks) / max(1, len(paragraphs))
     share: Counter[str] = Counter()
     kinds = line_kinds(lines)
     rows = sum(k == "table" for k in kinds) > 0.5 * len(full)
-    if _junk(text, common, codes, rows):
-        share["junk"] = n
-    elif not rows and (again := repeated_chars(codes[kinds_at > 0])) > 0.5 * n:
-        share["junk"] = again
+    if _junk(text, common, codes, rows, again):
+        share["junk"] = n if rows or again <= 0.5 * n else again
     else:
-        times = Counter(full)
-        doubtful = counts[5] + counts[8] + counts[6] + counts[10] + counts[4] + counts[3] + (counts[2] if counts[2] < 0.9 * n else 0) > 0.25 * n or len(full) - len(set(full)) > 0
+        repeated = {x for p, c in blocks.items() if c >= REPEATS for x in map(str.strip, p.splitlines())} if dup_paragraphs else set()
+        if dup_lines:
+            repeated |= {x for x, c in times.items() if c >= REPEATS}
+        doubtful = counts[5] + counts[8] + counts[6] + counts[10] + counts[4] + counts[3] + (counts[2] if counts[2] < 0.9 * n else 0) > 0.25 * n or dup_lines > 0
         for line, kind in zip(lines, kinds):
-            if kind == "prose" and (times[line.strip()] >= REPEATS or doubtful and _junk(line, common)):
+            if kind == "prose" and (line.strip() in repeated or doubtful and _junk(line, common)):
                 kind = "junk"
             if kind not in ("prose", "blank"):
                 share[kind] += _weight(line)
@@ -293,8 +376,8 @@ def measure(text: str | None, common: frozenset[str]) -> tuple:
     kind = max(("list", "table", "junk"), key=lambda k: share[k]) if other > 0.5 * n else "prose"
     return (
         len(text), words, (sum(map(len, latin)) + cjk) / max(1, len(latin) + cjk), float(counts[4] + counts[10] + counts[5]) / n, float(counts[3]) / n,
-        len(full), sum(1 for x in full if TERMINAL.search(x)) / max(1, len(full)), sum(1 for x in full if BULLET.match(x)) / max(1, len(full)), min(1.0, shared / n), 1 - len(set(full)) / max(1, len(full)),
-        1 - len(set(paragraphs)) / max(1, len(paragraphs)), top_ngram_share(codes[kinds_at > 0]), share["list"] / n, share["table"] / n, share["junk"] / n, kind,
+        len(full), sum(1 for x in full if TERMINAL.search(x)) / max(1, len(full)), sum(1 for x in full if BULLET.match(x)) / max(1, len(full)), min(1.0, shared / n), dup_lines,
+        dup_paragraphs, top, share["list"] / n, share["table"] / n, share["junk"] / n, kind,
     )
 
 
@@ -305,7 +388,7 @@ def document_statistics(df: DataFrame, key: str, text: str, common_words: list[s
     """
     if len(common_words) > MAX_COMMON:
         raise ValueError(f"{len(common_words)} common words; at most {MAX_COMMON} are handed to the tasks")
-    common = frozenset(w.lower() for w in common_words if w)
+    common = Common(w.lower() for w in common_words if w)
     kind = df.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, " + ", ".join(f"{n} {t}" for n, t in STATS) + ", doc_kind string"
     types = [pa.int64() if t == "long" else pa.float64() for _, t in STATS] + [pa.string()]

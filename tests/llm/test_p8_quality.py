@@ -76,3 +76,34 @@ def test_frame(spark):
     got = {r.doc_id: r.doc_kind for r in Q.document_statistics(df, "doc_id", "text", ["the", None, ""]).collect()}
     assert got == {i: k for i, (_, k) in enumerate(CASES)} | {99: "prose"}
     assert Q.document_statistics(df.where("false"), "doc_id", "text", []).count() == 0
+
+
+@pytest.mark.parametrize("n", [3, 7, 69, 118, 700])
+def test_repetition_at_any_period(n):
+    r = random.Random(n)
+    phrase = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n))
+    top, again = Q.repetition(Q._codes(phrase * 30))
+    assert top > 0.6 and again == 30 * n
+    once = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(30 * n))
+    assert Q.repetition(Q._codes(once))[1] == 0
+    mixed = once + phrase * 8
+    assert 0.9 * 8 * n <= Q.repetition(Q._codes(mixed))[1] <= 8 * n + 8 or n < 16
+
+
+def test_common_words_against_brute_force():
+    r = random.Random(1)
+    words = ["的", "他们", "という", "はなし", "的人"]
+    for _ in range(200):
+        text = "".join(r.choice("的他们人とういはなしxy ") for _ in range(r.randrange(1, 60)))
+        on = [False] * len(text)
+        for w in words:
+            for i in range(len(text) - len(w) + 1):
+                if text[i : i + len(w)] == w:
+                    on[i : i + len(w)] = [True] * len(w)
+        assert Q.Common([*words, "the"]).cover(Q._codes(text)) == sum(on)
+
+
+def test_letter_model():
+    names = "Halrow Serabel Noerick Mirena Casdan Lurick Tomin Risia".lower().split()
+    assert Q.LETTERS.odds("the story begins in a small shop".split()) > 0 > Q.LETTERS.chance / 2
+    assert Q.LETTERS.odds(names) > Q.LETTERS.chance / 2 > Q.LETTERS.odds(NOISE.split())
