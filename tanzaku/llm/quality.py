@@ -153,12 +153,10 @@ class LetterModel:
 
     def __init__(self, texts: list[str]) -> None:
         tri, bi, uni = np.full((28, 28, 28), 0.0), np.full((28, 28), 0.0), np.full(28, 1.0)
-        for word in re.findall(r"[^\W\d_]+", " ".join(texts).lower()):
-            c = self._letters(word)
-            for x, y, z in zip(c, c[1:], c[2:]):
-                tri[x, y, z] += 1
-                bi[y, z] += 1
-                uni[z] += 1
+        x, y, z = self._trigrams(re.findall(r"[^\W\d_]+", " ".join(texts).lower()))
+        np.add.at(tri, (x, y, z), 1)
+        np.add.at(bi, (y, z), 1)
+        np.add.at(uni, z, 1)
         one = uni / uni.sum()
         two = (bi + 6 * one) / (bi.sum(1, keepdims=True) + 6)
         three = (tri + 3 * two) / (tri.sum(2, keepdims=True) + 3)
@@ -166,16 +164,22 @@ class LetterModel:
         self.chance = float(self.table[1:27, 1:27, 1:27].mean())
 
     @staticmethod
-    def _letters(word: str) -> list[int]:
-        plain = unicodedata.normalize("NFD", word) if not word.isascii() else word
-        return [0, 0, *(ord(c) - 96 if "a" <= c <= "z" else 27 for c in plain if unicodedata.category(c) != "Mn" or c.isascii()), 0]
+    def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Letters of all trigrams of the words, each with two blanks before and one behind it."""
+        text = "  " + "  ".join(words) + " "
+        if not text.isascii():
+            text = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+        c = LETTER[np.minimum(_codes(text), 127)]
+        inside = (c[1:-1] > 0) | (c[2:] > 0)
+        return c[:-2][inside], c[1:-1][inside], c[2:][inside]
 
     def odds(self, words: list[str]) -> float:
-        c = np.array([x for w in words for x in self._letters(w)[1:]] or [0, 0, 0])
-        at = self.table[c[:-2], c[1:-1], c[2:]] if len(c) > 2 else np.zeros(1)
-        return float(at.mean())
+        got = self.table[self._trigrams(words)]
+        return float(got.mean()) if len(got) else 0.0
 
 
+LETTER = np.full(128, 27, np.int64)  #: of every ASCII code: 1 to 26 for letters, 0 for a blank, 27 for all others
+LETTER[[*range(97, 123)]], LETTER[32] = np.arange(1, 27), 0
 LETTERS = LetterModel([SEEDS[x] for x in ("en", "fr", "de", "es")])
 
 
