@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from tanzaku.llm import leakage as L
 
@@ -19,8 +20,11 @@ def test_winnowing_guarantee():
 
 
 def _share(passage: str, lang: str, doc: str) -> float:
-    got = L.Index([L.passage(passage, lang in L.BY_WORD)]).shares(L._codes(L.letters(doc)))
-    return got[0][2] if got else 0.0
+    p, codes = L.passage(passage, lang in L.BY_WORD), L._codes(L.letters(doc))
+    (h, at), (g, pos) = L.fingerprints(p.codes), L.fingerprints(codes)
+    same = h[:, None] == g[None, :]
+    shift, times = np.unique((pos[None, :] - at[:, None])[same], return_counts=True)
+    return p.repeated(codes, shift[times >= p.need].tolist()) / max(1, len(p.codes))
 
 
 def test_dress_does_not_matter():
@@ -66,10 +70,40 @@ def test_frame(spark):
     assert L.leaks(d, "doc_id", "text", i.where("false"), "item_id", "lang", "passage").count() == 0
 
 
-def test_blocks_of_the_test_set_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("bits,salts,chars", [(12, 1, 50), (28, 3, 1 << 20)])
+def test_any_filter_and_salting_give_the_same(spark, monkeypatch, bits, salts, chars):
     i = spark.createDataFrame([(k, "zh", ZH + "其他内容" * k) for k in range(6)], "item_id long, lang string, passage string")
-    d = spark.createDataFrame([(1, ZH)], "doc_id long, text string")
+    d = spark.createDataFrame([(1, ZH), (2, "x"), (3, ""), (4, ZH[:30] * 3)], "doc_id long, text string")
     run = lambda: {(r.item_id, r.doc_id) for r in L.leaks(d, "doc_id", "text", i, "item_id", "lang", "passage").collect()}
     whole = run()
-    monkeypatch.setattr(L, "BLOCK_CHARS", 100)
+    for name, value in (("FILTER_BITS", bits), ("SALTS", salts), ("BATCH_CHARS", chars)):
+        monkeypatch.setattr(L, name, value)
     assert run() == whole and whole
+
+
+def test_markup_of_any_length():
+    words = EN.split()
+    style = f'<span style="{"color:red;" * 100}">'
+    assert _share(EN, "en", " ".join(w + (style if k % 7 == 6 else "") for k, w in enumerate(words))) == 1.0
+    assert _share(ZH, "zh", ZH[:20] + "<!-- " + "说明" * 500 + " -->" + ZH[20:40] + "[[" + "长" * 400 + "|" + ZH[40:] + "]]") == 1.0
+    assert _share(ZH, "zh", ZH[:30] + "<!-- 没有结尾 " + ZH[30:]) > 0.9
+    assert _share(EN, "en", "if a <b and c are less than d; " + EN) == 1.0
+
+
+def test_letters_of_many_texts():
+    rng = random.Random(5)
+    texts = ["", "a", ZH, "Ｆｕｌｌ　Ｗｉｄｔｈ", "e\u0301t\u200be", "x\0y", "\u0301start", EN, "𠀀𠀁 𝐀", "㌔㍻" * 4] + ["".join(rng.choice("ab字ｶﾞ _<>&;") for _ in range(30)) for _ in range(50)]
+    codes, of = L.letters_of(texts)
+    for k, t in enumerate(texts):
+        assert codes[of == k].tobytes().decode("utf-32-le") == L.letters(t)
+    h, at = L._winnow(codes, of)
+    for k, t in enumerate(texts):
+        want = L.fingerprints(L._codes(L.letters(t)))
+        mine = of[at] == k
+        assert h[mine].tolist() == want[0].tolist() and (at[mine] - (np.searchsorted(of, k))).tolist() == want[1].tolist()
+
+
+def test_share_of_letters_that_expand(spark):
+    d = spark.createDataFrame([(1, "㌔" * 8 + "㍻" * 6)], "doc_id long, text string")  # fewer characters than a stretch, more letters
+    i = spark.createDataFrame([(1, "ja", "キロ" * 8 + "平成" * 6)], "item_id long, lang string, passage string")
+    assert [r.share for r in L.leaks(d, "doc_id", "text", i, "item_id", "lang", "passage").collect()] == [1.0]
