@@ -17,7 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -118,7 +118,7 @@ class Passage:
     word_start: np.ndarray | None  #: of languages with words: where each begins and ends among the letters
     word_end: np.ndarray | None
 
-    @property
+    @cached_property
     def least(self) -> int:
         """Letters of the shortest stretch that counts."""
         if self.word_start is None:
@@ -132,6 +132,15 @@ class Passage:
         """Fingerprints that winnowing is sure to keep of any stretch that counts."""
         return max(1, (self.least - K + 1) // WINDOW)
 
+    def need_in_all(self, least_share: float) -> int:
+        """Fingerprints that stretches of together ``least_share`` of the passage are sure to keep.
+
+        A stretch of n letters keeps (n - K + 1) // WINDOW or more; the least of them a letter is found among
+        the ``WINDOW`` shortest lengths that count.
+        """
+        rate = min(((n - K + 1) // WINDOW) / n for n in range(self.least, self.least + WINDOW))
+        return max(1, int(np.ceil(least_share * len(self.codes) * rate - 1e-6)))
+
     def repeated(self, codes: np.ndarray, shifts: list[int]) -> int:
         """How many of the passage's letters lie in stretches that ``codes`` repeats on the diagonals ``shifts``."""
         hit, least = np.zeros(len(self.codes), bool), self.least
@@ -205,22 +214,23 @@ def passing(h: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
 # ---------------------------------------------------------------- the operator
 
 
-def _test_prints(passages: DataFrame) -> DataFrame:
-    """(pid, need, h, at) of (pid, by_word, passage)"""
+def _test_prints(passages: DataFrame, least_share: float) -> DataFrame:
+    """(pid, need, total, h, at) of (pid, by_word, passage): ``need`` fingerprints on one diagonal and ``total`` on those together are the fewest of a leak."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pid, need, hs, at = [], [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            pid, need, total, hs, at = [], [], [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for p, by_word, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 one = passage(text, by_word)
                 h, pos = fingerprints(one.codes)
                 pid += [p] * len(h)
                 need += [one.need] * len(h)
+                total += [one.need_in_all(least_share)] * len(h)
                 hs.append(h)
                 at.append(pos)
-            yield pa.RecordBatch.from_arrays([pa.array(pid, pa.int64()), pa.array(need, pa.int32()), pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(at).astype(np.int32))], names=["pid", "need", "h", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(pid, pa.int64()), pa.array(need, pa.int32()), pa.array(total, pa.int32()), pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(at).astype(np.int32))], names=["pid", "need", "total", "h", "at"])
 
-    return passages.select("pid", "by_word", "passage").mapInArrow(run, "pid long, need int, h long, at int")
+    return passages.select("pid", "by_word", "passage").mapInArrow(run, "pid long, need int, total int, h long, at int")
 
 
 def _suspects(documents: DataFrame, doc: str, text: str, words: np.ndarray, bits: int) -> DataFrame:
@@ -261,14 +271,14 @@ def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str
     """
     items = items.select(F.col(item).alias("item"), F.coalesce(F.col(lang).isin(*BY_WORD), F.lit(False)).alias("by_word"), F.col(passage_text).alias("passage")).where("item is not null and passage is not null").distinct()
     passages = stored(items.select("by_word", "passage").distinct().withColumn("pid", F.monotonically_increasing_id()), "leak-passages")
-    prints = stored(_test_prints(passages), "leak-prints")
+    prints = stored(_test_prints(passages, least_share), "leak-prints")
     suspects = stored(_suspects(documents, doc, text, *bloom(prints, "h", prints.count())).withColumn("rid", F.monotonically_increasing_id()), "leak-suspects")
 
     salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).alias("salt")
     hits = suspects.select("rid", salt, F.inline(F.arrays_zip("h", "at"))).withColumnRenamed("at", "pos")
     test = prints.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    lines = hits.join(test, ["h", "salt"]).groupBy("rid", "pid", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count("*").alias("n"), F.max("need").alias("need"))
-    pairs = lines.where("n >= need").groupBy("rid", "pid").agg(F.collect_list("shift").alias("shifts"))  # diagonals of one document and passage
+    lines = hits.join(test, ["h", "salt"]).groupBy("rid", "pid", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count("*").alias("n"), F.max("need").alias("need"), F.max("total").alias("total"))
+    pairs = lines.where("n >= need").groupBy("rid", "pid").agg(F.collect_list("shift").alias("shifts"), F.sum("n").alias("n"), F.max("total").alias("total")).where("n >= total")  # diagonals of one document and passage
     kind = documents.schema[doc].dataType.simpleString()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

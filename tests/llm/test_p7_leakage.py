@@ -107,3 +107,18 @@ def test_share_of_letters_that_expand(spark):
     d = spark.createDataFrame([(1, "㌔" * 8 + "㍻" * 6)], "doc_id long, text string")  # fewer characters than a stretch, more letters
     i = spark.createDataFrame([(1, "ja", "キロ" * 8 + "平成" * 6)], "item_id long, lang string, passage string")
     assert [r.share for r in L.leaks(d, "doc_id", "text", i, "item_id", "lang", "passage").collect()] == [1.0]
+
+
+def test_fewest_fingerprints_of_a_leak():
+    rng = random.Random(11)
+    for _ in range(300):
+        p = "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(40, 200)))
+        one, doc, got = L.passage(p, False), "", 0
+        while got < len(p) / 3:
+            i = rng.randrange(len(p) - 15)
+            cut = p[i : i + rng.randrange(15, 40)]
+            doc, got = doc + cut + "#%", got + len(cut)
+        h, g = L.fingerprints(one.codes), L.fingerprints(L._codes(doc.replace("#%", "z" * rng.randrange(1, 9))))
+        shift, times = np.unique((g[1][None, :] - h[1][:, None])[h[0][:, None] == g[0][None, :]], return_counts=True)
+        if _share(p, "zh", doc) >= 1 / 3:
+            assert times[times >= one.need].sum() >= one.need_in_all(1 / 3)
