@@ -8,12 +8,15 @@ tables over the codes give approximate cosines, and the best ``rerank`` of each
 
 Distribution: a row goes to the leaves it visits (``probes`` copies of its bytes), so work and shuffle
 grow in proportion to the rows, and a task holds one leaf. Leaves follow the density of the sample;
-one that is heavy all the same is cut into ``parts``, each of which every visitor sees. Only the sample
+one that is heavy all the same is cut into ``parts``, each of which every visitor sees. Parts are
+dealt out to tasks by the load that the sample shows, and there are as many tasks as the bytes ask for, so that
+none reads more as the rows grow. Only the sample
 (``sample_rows`` at most), the centroids and the codebooks ever reach the driver or are broadcast.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +44,9 @@ class Params:
     sample_rows: int = 65536  #: most rows that the training sample has, per collection
     sample_per_leaf: int = 48
     max_leaves: int = 16384  #: beyond so many times ``leaf_rows`` rows leaves grow; raise it and ``sample_rows`` together
+    residual_rows: int = 16384  #: rows of the sample on which the codebooks are fitted
+    tasks_per_core: int = 10  #: tasks of the search, more if they would read ``task_bytes`` each
+    task_bytes: int = 64 << 20
     seed: int = 7
 
 
@@ -84,25 +90,42 @@ def grow_leaves(x: np.ndarray, leaves: int, rng: np.random.Generator) -> np.ndar
 class Model:
     leaves: np.ndarray  #: leaf centroids
     parts: np.ndarray  #: into how many parts each leaf is cut
+    load: np.ndarray  #: rows that a part of each leaf is expected to read, visitors included
     books: np.ndarray  #: stages x codewords x dim
 
 
-def train(sample: np.ndarray, rows: int, p: Params) -> Model:
-    """The quantiser for a collection of ``rows`` rows from its sample (rows of any length, not zero)."""
+def train(sample: np.ndarray, rows: int, p: Params, visiting: bool = True) -> Model:
+    """The quantiser for a collection of ``rows`` rows from its sample (rows of any length, not zero); ``visiting``: whether all rows are queries."""
     rng = np.random.default_rng(p.seed)
     x = _unit(sample.astype(np.float32))
     leaves = grow_leaves(x, int(np.clip(rows / p.leaf_rows, 1, min(p.max_leaves, max(1, len(x) // 4)))), rng)
-    home = (x @ leaves.T).argmax(1)
+    sim = x @ leaves.T
+    home = sim.argmax(1)
     share = np.bincount(home, minlength=len(leaves)) / len(x) * rows
     parts = np.maximum(1, np.ceil(share / (8 * p.leaf_rows))).astype(np.int64)
+    load = share / parts
+    if visiting:
+        load = load + (np.bincount(np.argpartition(-sim, min(p.probes, len(leaves)) - 1, axis=1)[:, : p.probes].ravel(), minlength=len(leaves)) / len(x) * rows) - share
     rest, books = x - leaves[home], []
-    if len(rest) > 16384:
-        rest = rest[rng.choice(len(rest), 16384, replace=False)]
+    if len(rest) > p.residual_rows:
+        rest = rest[rng.choice(len(rest), p.residual_rows, replace=False)]
     for _ in range(p.stages):
         c, at = _kmeans(rest, p.codewords, 8, rng, False)
         books.append(c)
         rest = rest - c[at]
-    return Model(leaves, parts, np.stack(books).astype(np.float32))
+    return Model(leaves, parts, load, np.stack(books).astype(np.float32))
+
+
+def spread_leaves(models: dict[str, Model], tasks: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each collection (where the parts of each leaf begin, the task of each part): heavy parts first, each to the task with least load."""
+    first = {c: np.concatenate([[0], np.cumsum(m.parts)]) for c, m in models.items()}
+    task = {c: np.zeros(first[c][-1], np.int32) for c in models}
+    heap = [(0.0, t) for t in range(tasks)]
+    for load, coll, part in sorted(((float(m.load[leaf]), c, int(i)) for c, m in models.items() for leaf in range(len(m.leaves)) for i in range(first[c][leaf], first[c][leaf + 1])), reverse=True):
+        have, t = heapq.heappop(heap)
+        task[coll][part] = t
+        heapq.heappush(heap, (have + load + 1, t))
+    return {c: (first[c], task[c]) for c in models}
 
 
 # ---------------------------------------------------------------- encoding
@@ -244,12 +267,15 @@ def neighbours(reps: DataFrame, p: Params = Params(), least: float = -1.5, query
         got = picked.select("payload").orderBy(*order).limit(want).toArrow().column(0)
         if len(got) == 0:
             got = reps.where(F.col("coll") == coll).select("payload").orderBy(*order).limit(want).toArrow().column(0)
-        models[coll] = train(_read(got, p.dim), n, p)
-    shared = spark.sparkContext.broadcast(models)
+        models[coll] = train(_read(got, p.dim), n, p, query_filter == "true")
+    copies = p.probes if query_filter == "true" else 1  # elsewhere queries are few beside the rows
+    tasks = max(p.tasks_per_core * spark.sparkContext.defaultParallelism, -(-sum(counts.values()) * copies * (2 * p.dim + p.stages + 40) // p.task_bytes))
+    shared = spark.sparkContext.broadcast((models, spread_leaves(models, tasks)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for coll, model in shared.value.items():
+            for coll, model in shared.value[0].items():
+                first, task = shared.value[1][coll]
                 part = b.filter(pc.equal(b.column(1), coll))
                 step = max(256, min(4096, (1 << 24) // len(model.leaves)))  # bounds the table of rows and leaves
                 for lo in range(0, part.num_rows, step):
@@ -273,32 +299,36 @@ def neighbours(reps: DataFrame, p: Params = Params(), least: float = -1.5, query
                             leaf.append(near[here[keep], j])
                             piece.append(np.full(int(keep.sum()), i))
                             is_base.append(mine[keep])
-                    row_, base_ = np.concatenate(row), np.concatenate(is_base)
+                    row_, base_, leaf_, piece_ = (np.concatenate(x) for x in (row, is_base, leaf, piece))
                     n = len(row_)
                     word = codes[row_].tobytes()
                     code = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * p.stages, p.stages, dtype=np.int32)), pa.py_buffer(word)])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([coll] * n, pa.string()), pa.array(np.concatenate(leaf).astype(np.int32)), pa.array(np.concatenate(piece).astype(np.int32)), pa.array(ids[row_]), pa.array(base_), pa.array(asks[row_]), cut.column(2).take(pa.array(row_)), pc.if_else(pa.array(base_), code, pa.scalar(None, pa.binary())), pa.array(norms[row_])],
-                        names=["coll", "leaf", "piece", "id", "base", "asks", "payload", "codes", "norm"],
+                        [pa.array([coll] * n, pa.string()), pa.array(task[first[leaf_] + piece_]), pa.array(leaf_.astype(np.int32)), pa.array(piece_.astype(np.int32)), pa.array(ids[row_]), pa.array(base_), pa.array(asks[row_]), cut.column(2).take(pa.array(row_)), pc.if_else(pa.array(base_), code, pa.scalar(None, pa.binary())), pa.array(norms[row_])],
+                        names=["coll", "task", "leaf", "piece", "id", "base", "asks", "payload", "codes", "norm"],
                     )
 
     def answer(table: pa.Table) -> pa.Table:
-        coll, leaf = table.column("coll")[0].as_py(), table.column("leaf")[0].as_py()
-        model = shared.value[coll]
+        coll, leaf, piece = (np.asarray(table.column(c).to_numpy(zero_copy_only=False)) for c in ("coll", "leaf", "piece"))
+        order = np.lexsort((piece, leaf, coll))
+        coll, leaf, piece = coll[order], leaf[order], piece[order]
+        cut = np.flatnonzero((coll[1:] != coll[:-1]) | (leaf[1:] != leaf[:-1]) | (piece[1:] != piece[:-1])) + 1
+        parts = [one_leaf(table.take(pa.array(rows)), shared.value[0][coll[lo]], int(leaf[lo])) for lo, rows in zip(np.concatenate([[0], cut]).tolist(), np.split(order, cut))]
+        q, o, c = (np.concatenate(x) for x in zip(*parts))
+        return pa.table({"id": pa.array(q, pa.int64()), "other": pa.array(o, pa.int64()), "cos": pa.array(c, pa.float32())})
+
+    def one_leaf(table: pa.Table, model: Model, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, ids = _read(table.column("payload"), p.dim), np.asarray(table.column("id"))
         at = np.flatnonzero(np.asarray(table.column("base")))
         ask = np.flatnonzero(np.asarray(table.column("asks")))
         if not len(at) or not len(ask):
-            q = o = np.empty(0, np.int64)
-            c = np.empty(0, np.float32)
-        else:
-            at = at[np.argsort(ids[at])]
-            codes = np.frombuffer(b"".join(table.column("codes").take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
-            q, o, c = search_leaf(x[at], ids[at], codes, np.asarray(table.column("norm"))[at], x[ask], ids[ask], model.leaves[leaf], model.books, p, least)
-        return pa.table({"id": pa.array(q, pa.int64()), "other": pa.array(o, pa.int64()), "cos": pa.array(c, pa.float32())})
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+        at = at[np.argsort(ids[at])]
+        codes = np.frombuffer(b"".join(table.column("codes").take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
+        return search_leaf(x[at], ids[at], codes, np.asarray(table.column("norm"))[at], x[ask], ids[ask], model.leaves[leaf], model.books, p, least)
 
-    routed = reps.select("id", "coll", "payload", F.expr(query_filter).alias("asks")).mapInArrow(route, "coll string, leaf int, piece int, id long, base boolean, asks boolean, payload binary, codes binary, norm float")
-    found = routed.groupBy("coll", "leaf", "piece").applyInArrow(answer, "id long, other long, cos float")
+    routed = reps.select("id", "coll", "payload", F.expr(query_filter).alias("asks")).mapInArrow(route, "coll string, task int, leaf int, piece int, id long, base boolean, asks boolean, payload binary, codes binary, norm float")
+    found = routed.repartitionById(tasks, "task").groupBy("task").applyInArrow(answer, "id long, other long, cos float")
     if query_filter == "true":  # similarity is symmetric: what one row found counts for both
         ways = F.array(F.struct("id", "other", "cos"), F.struct(F.col("other").alias("id"), F.col("id").alias("other"), "cos"))
         found = found.select(F.inline(ways)).groupBy("id", "other").agg(F.max("cos").alias("cos"))
