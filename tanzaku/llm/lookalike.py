@@ -4,7 +4,11 @@
 wherever possible; what it leaves apart (composed and decomposed marks, compatibility ideographs of equal
 meaning) the collation ``UNICODE`` joins: it is sensitive to case, marks, small kana and punctuation. Values
 are grouped under it, each class gets a canonical member, and that is joined back to the rows. Everything
-runs in the JVM; rows meet by class only after equal values are merged.
+runs in the JVM.
+
+Collated values can only be sorted, at the price of a collator's comparison each. So they are first grouped by
+their base, a plain text that is equal wherever the collation finds skeletons equal, with two hashes to tell
+whether a group holds more than one value. Only rows of those groups are collated and joined.
 """
 
 from __future__ import annotations
@@ -14,10 +18,17 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of other alphabets with the shape of a Latin letter.
+from tanzaku.checkpoints import stored
+
+#: Letters to which the Unicode list of confusables gives the shape of a Latin letter of the same case.
 LATIN_SHAPES = {
-    "АВЕЅІЈКМНОРСТХУ": "ABESIJKMHOPCTXY", "аеорсухѕіјһԁԛԝ": "aeopcyxsijhdqw",
-    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "ABEZHIKMNOPTYX", "οινυ": "oivu", "ɑɡı": "agi",
+    "АВЕЅІЈКМНОРСТХУѴҮӀԌԜ": "ABESIJKMHOPCTXYVYIGW", "аеорсухѕіјһԁԛԝѵӏ": "aeopcyxsijhdqwvl",
+    "ͿΑΒΕΖΗΙΚΜΝΟΡΤΥΧϜϺ": "JABEZHIKMNOPTYXFM", "οινυρϳ": "oivupj",
+    "ՍՏՕ": "USO", "հոսօցզ": "hnuogq",
+    "ᎠᎡᎢᎩᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏕᏙᏚᏞᏟᏢᏦᏳᏴ": "DRTYAJEWMHYGZRWSVSLCPKGB", "ꭵꮁꮃꮓꮩꮪꮯ": "irwzvsc",
+    "ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⳐ": "HIKMNOPCTYXL", "ⲟⲣⲥ": "opc",
+    "ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ": "BPdDTGKJCZFMNLSRVHWXYAElOU",
+    "ɑɡıᴄᴏᴠᴡᴢꜱ": "agicovwzs",
 }
 #: Ideographs, kana and marks that share a shape.
 CJK_SHAPES = {"力口工夕卜八二一へべぺ": "カロエタトハニーヘベペ", "〜∼": "~~"}
@@ -62,34 +73,75 @@ def skeleton(value: Column) -> Column:
     return F.translate(s, FROM, TO)
 
 
-def classes(values: DataFrame, field: str, value: str) -> DataFrame:
-    """(field, value, canonical, n_values): every distinct value with the canonical member of its class.
+def _bases() -> tuple[str, str]:
+    """Characters with a canonical decomposition, and the first character of each."""
+    out = {chr(c): chr(0x1100 + (c - 0xAC00) // 588) for c in range(0xAC00, 0xD7A4)}
+    for c in map(chr, [*range(0xC0, 0xAC00), *range(0xF900, 0xFB50), *range(0x2F800, 0x2FA20)]):
+        form = unicodedata.normalize("NFD", c)
+        if form != c:
+            out[c] = form[0]
+    return "".join(out), "".join(out.values())
 
-    The canonical member is the one with the least changes to its skeleton, then the shortest, then the
-    first in binary order. Values of different fields never meet. Nulls are left out; empty values and
-    values that are invisible form a class of their own.
+
+BASE_FROM, BASE_TO = _bases()
+
+
+def base(look: Column) -> Column:
+    """A skeleton without marks, vowels and ends of Hangul syllables, and controls: equal where the collation finds skeletons equal."""
+    return F.regexp_replace(F.translate(look, BASE_FROM, BASE_TO), "[\\p{M}\\p{Cc}\\x{1160}-\\x{11FF}]", "")
+
+
+def doubtful(rows: DataFrame, field: str, value: str) -> DataFrame:
+    """``rows`` with ``look``, those alone whose value shares its base with another value of its field.
+
+    Values of a group are counted by the least and greatest of two hashes of 96 bits together, so that the
+    groups are combined before the shuffle.
     """
-    looks = values.select(field, value).where(F.col(value).isNotNull()).distinct().withColumn("look", F.collate(skeleton(F.col(value)), "UNICODE"))
+    x = rows.where(F.col(value).isNotNull()).withColumn("look", skeleton(F.col(value)))
+    x = x.withColumn("base", F.when(F.col("look").rlike("^[\\x20-\\x7E]*$"), F.col("look")).otherwise(base(F.col("look"))))
+    hashes = {"h": F.xxhash64(value), "g": F.hash(value)}
+    ends = [f(c).alias(f"{n}{i}") for n, c in hashes.items() for i, f in enumerate((F.min, F.max))]
+    several = x.groupBy(field, "base").agg(*ends).where("h0 != h1 or g0 != g1").select(field, "base")
+    return x.join(several, [field, "base"], "left_semi").drop("base")
+
+
+def _classes(values: DataFrame, field: str, value: str) -> DataFrame:
+    """(field, value, canonical, n_values) of the distinct (field, value, look)."""
+    looks = values.select(field, value, F.collate("look", "UNICODE").alias("look"))
     plain = F.collate("look", "UTF8_BINARY")
     rank = F.struct((F.col(value) != plain).alias("changed"), F.length(value).alias("size"), F.col(value).alias("member"))
     heads = looks.groupBy(field, "look").agg(F.min(rank)["member"].alias("canonical"), F.count("*").alias("n_values"))
     return looks.join(heads, [field, "look"]).select(field, value, "canonical", "n_values")
 
 
+def classes(values: DataFrame, field: str, value: str) -> DataFrame:
+    """(field, value, canonical, n_values): every value that is not alone in its class, with the canonical member.
+
+    The canonical member is the one with the least changes to its skeleton, then the shortest, then the
+    first in binary order. Values of different fields never meet. Nulls are left out; empty values and
+    values that are invisible form a class of their own. A value that does not come out is its own class.
+    """
+    some = stored(doubtful(values.select(field, value), field, value).distinct(), "lookalike")
+    return _classes(some, field, value).where("n_values > 1")
+
+
 def canonical_values(rows: DataFrame, field: str, key: str, value: str) -> DataFrame:
     """``rows`` (field, key, value) with ``canonical`` joined back; rows with a null value keep a null."""
     names = classes(rows, field, value).select(field, value, "canonical")
-    return rows.select(field, key, value).join(names, [field, value], "left")
+    return rows.select(field, key, value).join(names, [field, value], "left").withColumn("canonical", F.coalesce("canonical", value))
 
 
 def lookalike_pairs(rows: DataFrame, field: str, key: str, value: str) -> DataFrame:
     """(field, key_a, key_b), key_a < key_b: rows of one field whose values differ in code points but look the same.
 
-    Only classes of two values or more take part. Rows are told apart by key; repeated rows count once. The
-    join is between the spellings of a class, so a stock name in one spelling makes no pair at all, and the
-    adaptive skew join splits a class that holds many rows.
+    Rows are told apart by key; repeated rows count once. The join is between the spellings of a class, so a
+    stock name in one spelling makes no pair at all, and the adaptive skew join splits a class that holds many
+    rows. All pairs of rows come out, as the table of cases asks; ``canonical_values`` is the form that grows with the
+    rows alone.
     """
-    members = rows.select(field, key, value).where(F.col(key).isNotNull()).distinct().join(classes(rows, field, value).where("n_values > 1").drop("n_values"), [field, value])
+    some = stored(doubtful(rows.select(field, key, value).where(F.col(key).isNotNull()), field, value).distinct(), "lookalike")
+    names = _classes(some.select(field, value, "look").distinct(), field, value).where("n_values > 1").drop("n_values")
+    members = some.select(field, key, value).join(names, [field, value])
     a = members.select(field, "canonical", F.col(key).alias("key_a"), F.col(value).alias("value_a"))
     b = members.select(field, "canonical", F.col(key).alias("key_b"), F.col(value).alias("value_b"))
     return a.join(b, [field, "canonical"]).where("key_a < key_b and value_a != value_b").select(field, "key_a", "key_b").distinct()
