@@ -60,12 +60,12 @@ def _pairs() -> tuple[str, str]:
 
 FROM, TO = _pairs()
 INVISIBLE = "[\\p{Cf}\\x{034F}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180F}\\x{FE00}-\\x{FE0F}\\x{E0100}-\\x{E01EF}]"
-BLANK = "[\\p{Zs}\\t\\x{3164}\\x{FFA0}\\x{2800}]"
+BLANK = "[\\t\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}\\x{3164}\\x{FFA0}\\x{2800}]"
 
 
 def skeleton(value: Column) -> Column:
     """The look of a value, up to what the collation ``UNICODE`` joins; null stays null."""
-    s = F.regexp_replace(F.regexp_replace(value, INVISIBLE, ""), BLANK, " ")
+    s = F.when(value.rlike(f"{INVISIBLE}|{BLANK}"), F.regexp_replace(F.regexp_replace(value, INVISIBLE, ""), BLANK, " ")).otherwise(value)
     many = s
     for sign, letters in SEVERAL.items():
         many = F.replace(many, F.lit(sign), F.lit(letters))
@@ -73,22 +73,29 @@ def skeleton(value: Column) -> Column:
     return F.translate(s, FROM, TO)
 
 
-def _bases() -> tuple[str, str]:
-    """Characters with a canonical decomposition, and the first character of each."""
-    out = {chr(c): chr(0x1100 + (c - 0xAC00) // 588) for c in range(0xAC00, 0xD7A4)}
-    for c in map(chr, [*range(0xC0, 0xAC00), *range(0xF900, 0xFB50), *range(0x2F800, 0x2FA20)]):
-        form = unicodedata.normalize("NFD", c)
-        if form != c:
-            out[c] = form[0]
-    return "".join(out), "".join(out.values())
+def _bases(lo: int, hi: int) -> tuple[str, str]:
+    """Characters of a range with a canonical decomposition, and the first character of each."""
+    forms = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, range(lo, hi))}
+    return "".join(c for c, f in forms.items() if f != c), "".join(f for c, f in forms.items() if f != c)
 
 
-BASE_FROM, BASE_TO = _bases()
+SMALL_FROM, SMALL_TO = _bases(0xC0, 0x3400)
+FULL_FROM, FULL_TO = (a + b + c + d for a, b, c, d in zip((SMALL_FROM, SMALL_TO), _bases(0xAC00, 0xD7A4), _bases(0xF900, 0xFB50), _bases(0x2F800, 0x2FA20)))
 
 
 def base(look: Column) -> Column:
-    """A skeleton without marks, vowels and ends of Hangul syllables, and controls: equal where the collation finds skeletons equal."""
-    return F.regexp_replace(F.translate(look, BASE_FROM, BASE_TO), "[\\p{M}\\p{Cc}\\x{1160}-\\x{11FF}]", "")
+    """A skeleton without marks, vowels and ends of Hangul syllables, and controls: equal where the collation finds skeletons equal.
+
+    The table with all Hangul syllables is asked for only where there are such: at every row the engine compares
+    a table with the one before it.
+    """
+    full = look.rlike("[\\x{AC00}-\\x{D7A3}\\x{F900}-\\x{FB4F}\\x{2F800}-\\x{2FA1F}]")
+    plain = F.when(full, F.translate(look, FULL_FROM, FULL_TO)).otherwise(F.translate(look, SMALL_FROM, SMALL_TO))
+    return F.regexp_replace(plain, "[\\p{M}\\p{Cc}\\x{1160}-\\x{11FF}]", "")
+
+
+#: Values of such characters alone are their own base.
+PLAIN = "^[\\x20-\\x7E\\x{3001}-\\x{301F}\\x{30FB}\\x{30FC}\\x{4E00}-\\x{9FFF}\\x{FF00}-\\x{FF0F}]*$"
 
 
 def doubtful(rows: DataFrame, field: str, value: str) -> DataFrame:
@@ -98,7 +105,8 @@ def doubtful(rows: DataFrame, field: str, value: str) -> DataFrame:
     groups are combined before the shuffle.
     """
     x = rows.where(F.col(value).isNotNull()).withColumn("look", skeleton(F.col(value)))
-    x = x.withColumn("base", F.when(F.col("look").rlike("^[\\x20-\\x7E]*$"), F.col("look")).otherwise(base(F.col("look"))))
+    own = F.when(F.col("look").rlike(PLAIN), F.col("look")).otherwise(base(F.col("look")))
+    x = x.withColumn("base", F.coalesce(own, F.lit("")))  # never null, so that the planner does not compute it once more to filter nulls
     hashes = {"h": F.xxhash64(value), "g": F.hash(value)}
     ends = [f(c).alias(f"{n}{i}") for n, c in hashes.items() for i, f in enumerate((F.min, F.max))]
     several = x.groupBy(field, "base").agg(*ends).where("h0 != h1 or g0 != g1").select(field, "base")
