@@ -2,21 +2,22 @@
 
 Names of both sides are reduced to a core (one width and case, common variant ideographs folded, season
 marks, years and media set apart) whose q-grams are hashed into vectors of 128 bits. Pairs within ``RADIUS``
-bits are found exactly: the vectors are cut into chunks, and by the pigeonhole principle a close pair
-differs in some chunk by no more than ``RADIUS // chunks`` bits, so every vector is looked up under that
-few flips of each chunk. Names that are equal are joined first and need no search.
-
-Dice coefficients of title and lead names, weighted, give a name score. What a score is worth is read off the
-data: in every score bin the share of pairs whose years agree, between what chance and what true pairs give,
-is the prior of a match; agreement of year and studio then shift its odds, and the works that compete for a
-page share them. Works of one core, season, year and studio are merged before the join, so that one stock
-name on a third of the rows makes no more pairs than there are different years and studios.
+bits are found exactly: the vectors are cut into ``CHUNKS`` chunks, and by the pigeonhole principle a close pair
+differs in some chunk by no more than ``RADIUS // CHUNKS`` bits, so every vector is looked up under that
+few flips of each chunk. All names of all pages are searched, those that a work has letter for letter too.
+
+Dice coefficients of title and lead names, weighted, give a name score. What a score, an agreement of years and
+one of studios are worth is estimated from all pairs by expectation and maximisation over their joint counts
+(252 cells), without labels; of the scores a better one is never worth less. The works that compete for a page,
+and no work at all, share its odds. Works of one core, season, year and studios are merged before the join, so
+that one stock name on a third of the rows makes no more pairs than there are different years and studios.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -24,10 +25,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tanzaku.checkpoints import stored
 from tanzaku.llm.lookalike import CJK_SHAPES, LATIN_SHAPES
 
 BITS, RADIUS = 128, 13
-LEAN = 5  #: pairs that the curve of prior confidences counts for
+CHUNKS = 7  #: of the search; fewer and longer ones suit hundreds of millions of names, at any number the same pairs come out
+BINS, ROUNDS = 20, 200  #: bins of the score, rounds of the estimation
+#: Where the estimation starts: shares of equal, neighbouring and other years, and of named and other studios, among matches and others.
+START, LEAN = {3: ((0.9, 0.06, 0.04), (0.04, 0.08, 0.88)), 2: ((0.85, 0.15), (0.15, 0.85))}, 5
 
 #: Variant ideographs (traditional or Japanese) and the simplified ones.
 VARIANTS = dict(zip(
@@ -47,9 +52,13 @@ MEDIA = re.compile(r"漫画|漫畫|小说|小說|原声|原聲|专辑|專輯|游
 ANIMATED = re.compile(r"^\s*(?:(?:tv|电视|電視|ova|web|剧场版)?\s*(?:动画|動畫|アニメ)(?:版)?)\s*$", re.I)
 YEAR_MARK = re.compile(r"^\s*((?:19|20)\d\d)\s*年?\s*(?:版|动画|動畫|tv动画)?\s*$", re.I)
 TAIL = re.compile(r"\s*[(（\[【]([^()（）\[\]【】]*)[)）\]】]\s*$")
-LEAD_NAME = re.compile(r"[《「『]([^》」』]+)[》」』]")
+QUOTED_NAME = re.compile(r"[《「『]([^》」』]+)[》」』]")
+#: Labels behind which an encyclopaedia gives another name of its subject.
+NAME_LABEL = re.compile(r"(?:原名|原题|原題|又名|别名|別名|日文名|英文名|中文名|译名)[为為是:：]?\s*([^，。；、,;:：「『《（(]+)")
 LEAD_YEAR = re.compile(r"(?<!\d)(\d{4}|\d{2}|[〇零一二三四五六七八九]{4})年")
-LEAD_STUDIO = re.compile(r"由([^，。《》]+?)制作|，([^，。]+?)负责制作|动画制作为([^，。]+)")
+DENIED = re.compile(r"(?:不涉及|不包括|不是|并非|非|无|没有)[^，。,；]{0,4}(?:动画|動畫|アニメ)")
+ANIME = re.compile(r"动画|動畫|アニメ|anime", re.I)
+PRODUCED, UNNAMED = re.compile(r"制作|製作|produc|animat", re.I), re.compile(r"不明|未知|不详|未公开|未公開")
 
 
 def plain(text: str) -> str:
@@ -85,8 +94,8 @@ def named(name: str | None) -> tuple[str, int]:
 
 
 def parse_page(title: str | None, lead: str | None) -> dict:
-    """Names (title, others of the title, lead), season, year, studio and whether the page is on something else."""
-    out = {"title": "", "other": "", "lead": "", "season": 0, "year": None, "studio": None, "skip": False}
+    """Names (title, others of the title, those the lead quotes or labels), season, year, what is said where a producer is named, and whether the page is on something else."""
+    out = {"title": "", "other": "", "leads": [], "season": 0, "year": None, "said": None, "skip": False}
     t = plain(title or "")
     while m := TAIL.search(t):
         inner = m.group(1)
@@ -109,34 +118,41 @@ def parse_page(title: str | None, lead: str | None) -> dict:
     if lead:
         said = plain(lead)
         head = said.split("。")[0]
-        out["skip"] |= "不涉及动画" in said
-        m = re.search(r"原名(.+?)，动画制作", said)
-        name = m.group(1) if m else next(iter(LEAD_NAME.findall(said if "原题" in said else head)), None)
-        if "原题" in said and (m := re.search(r"原题[「《『](.+?)[」》』]", said)):
-            name = m.group(1)
-        if name:
-            out["lead"], s = named(name)
-            out["season"] = out["season"] or s
+        about = DENIED.sub("", head)
+        out["skip"] |= bool(MEDIA.search(head)) and not ANIME.search(about)
+        for name in dict.fromkeys(QUOTED_NAME.findall(said) + NAME_LABEL.findall(said)):
+            got, s = named(name)
+            if got:
+                out["leads"].append(got)
+                out["season"] = out["season"] or s
         if m := LEAD_YEAR.search(head):
             y = m.group(1)
             n = int(y) if y.isdigit() and y.isascii() else int("".join(str(_NUMBER[c]) for c in y))
             n = n if n > 99 else n + (2000 if n <= 30 else 1900)
             out["year"] = out["year"] or n
-        if (m := LEAD_STUDIO.search(said)) and (s := next(g for g in m.groups() if g)) != "不明":
-            out["studio"] = core(s)
+        if PRODUCED.search(said) and not UNNAMED.search(head):
+            out["said"] = core(said)
     return out
 
 
+@lru_cache(1 << 16)
+def _gram_bits(gram: str, times: int) -> int:
+    h, bits = 1469598103934665603, 0
+    for c in gram:
+        h = ((h ^ ord(c)) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
+    for _ in range(times):
+        h = (h * 6364136223846793005 + 1442695040888963407) & 0xFFFFFFFFFFFFFFFF
+        bits |= 1 << (h >> 57)
+    return bits
+
+
 def bit_vector(name: str) -> tuple[int, int]:
     """The q-grams of a core as 128 bits in two signed halves: six bits for each character, one for each pair."""
     bits = 0
-    for gram, times in [(c, 6) for c in set(name)] + [(a + b, 1) for a, b in zip(name, name[1:])]:
-        h = 1469598103934665603
-        for c in gram:
-            h = ((h ^ ord(c)) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-        for _ in range(times):
-            h = (h * 6364136223846793005 + 1442695040888963407) & 0xFFFFFFFFFFFFFFFF
-            bits |= 1 << (h >> 57)
+    for c in set(name):
+        bits |= _gram_bits(c, 6)
+    for a, b in zip(name, name[1:]):
+        bits |= _gram_bits(a + b, 1)
     sign = lambda v: v - (1 << 64) if v >= 1 << 63 else v
     return sign(bits & 0xFFFFFFFFFFFFFFFF), sign(bits >> 64)
 
@@ -149,7 +165,7 @@ def _vectors(names: DataFrame) -> DataFrame:
             v = [bit_vector(c) for c in b["core"]]
             yield b.assign(v0=np.array([x[0] for x in v], np.int64), v1=np.array([x[1] for x in v], np.int64))
 
-    return names.select("core").where("core != ''").distinct().mapInPandas(run, "core string, v0 long, v1 long")
+    return _spread(names.select("core").where("core != ''").distinct(), "core").mapInPandas(run, "core string, v0 long, v1 long")
 
 
 def _chunk(i: int, chunks: int) -> Column:
@@ -164,54 +180,63 @@ def _chunk(i: int, chunks: int) -> Column:
     return parts[0] if len(parts) == 1 else parts[0].bitwiseOR(parts[1])
 
 
-def close_names(left: DataFrame, right: DataFrame, rows: int, radius: int = RADIUS) -> DataFrame:
-    """(core_a, core_b, dice) for all pairs of ``left`` and ``right`` (core, v0, v1) within ``radius`` bits.
-
-    ``rows``: about how many names ``right`` has; chunks have about log2 of that many bits or more.
-    """
-    chunks = 7 if rows < 1 << 20 else 5
+def close_names(left: DataFrame, right: DataFrame, radius: int = RADIUS, chunks: int = CHUNKS) -> DataFrame:
+    """(core_a, core_b, dice) for all pairs of ``left`` and ``right`` (core, v0, v1) within ``radius`` bits."""
     flips = radius // chunks
     masks = []
     for i in range(chunks):
         width = (i + 1) * BITS // chunks - i * BITS // chunks
-        masks.append([0] + [sum(1 << p for p in c) for n in range(1, flips + 1) for c in combinations(range(width), n)])
+        # a pair with ``flips`` + 1 or more flips in each of the first chunks has none left for those behind them
+        most = flips if i <= radius - flips * chunks else flips - 1
+        masks.append([0] * (most >= 0) + [sum(1 << p for p in c) for n in range(1, most + 1) for c in combinations(range(width), n)])
+
+    def place(i: int, mask: Column | None = None) -> Column:
+        c = _chunk(i, chunks)
+        return (c if mask is None else c.bitwiseXOR(mask.cast("long"))).bitwiseOR(F.lit(i << 56).cast("long"))  # one number: chunk and its bits
+
     def near(i: int) -> Column:
-        return F.transform(F.array(*map(F.lit, masks[i])), lambda x: F.struct(F.lit(i).alias("i"), _chunk(i, chunks).bitwiseXOR(x.cast("long")).alias("c")))
+        return F.transform(F.array(*map(F.lit, masks[i])), lambda x: place(i, x))
 
-    probe = F.array(*map(near, range(chunks)))
-    own = F.array(*[F.struct(F.lit(i).alias("i"), _chunk(i, chunks).alias("c")) for i in range(chunks)])
-    a = left.select(F.col("core").alias("core_a"), F.col("v0").alias("a0"), F.col("v1").alias("a1"), F.inline(F.flatten(probe)))
-    b = right.select(F.col("core").alias("core_b"), F.col("v0").alias("b0"), F.col("v1").alias("b1"), F.inline(own))
+    probe = F.concat(*[near(i) for i in range(chunks) if masks[i]])
+    own = F.array(*[place(i) for i in range(chunks) if masks[i]])
+    a = left.select(F.col("core").alias("core_a"), F.col("v0").alias("a0"), F.col("v1").alias("a1"), F.explode(probe).alias("c"))
+    b = right.select(F.col("core").alias("core_b"), F.col("v0").alias("b0"), F.col("v1").alias("b1"), F.explode(own).alias("c"))
     apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     both = F.bit_count(F.col("a0").bitwiseAND(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseAND(F.col("b1")))
     sizes = F.bit_count("a0") + F.bit_count("a1") + F.bit_count("b0") + F.bit_count("b1")
     # the planner takes exploded probes for as small as their names and would broadcast them: both sides are shuffled instead
-    return a.join(b.hint("merge"), ["i", "c"]).where(apart <= radius).select("core_a", "core_b", (2.0 * both / sizes).alias("dice")).distinct()
+    return a.join(b.hint("shuffle_hash"), "c").where(apart <= radius).select("core_a", "core_b", (2.0 * both / sizes).alias("dice")).distinct()
+
+
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` by ``key`` over all shuffle partitions, ahead of functions that cost more than the bytes tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return df.where(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return _spread(df.where(F.col(key).isNotNull()), key).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
 def work_names(works: DataFrame) -> DataFrame:
-    """(subject_id, core, season, year, studio): the names of every work, each core once."""
+    """(subject_id, core, season, year, studios): the names of every work, each core once."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for sid, names, year, studio in zip(b["subject_id"], zip(b["name"], b["name_cn"]), b["air_year"], b["studio"]):
+            for sid, names, year, studios in zip(b["subject_id"], zip(b["name"], b["name_cn"]), b["air_year"], b["studios"]):
                 got = [named(n) for n in names]
                 season = max((s for _, s in got), default=0) or 1
-                rows += [(sid, c, season, year, core(plain(studio)) if studio else None) for c in {c for c, _ in got if c}]
-            yield pd.DataFrame(rows, columns=["subject_id", "core", "season", "year", "studio"]).astype({"year": "Int64"})
+                made = sorted({c for x in (studios if studios is not None else ()) if x and len(c := core(plain(x))) > 1})
+                rows += [(sid, c, season, year, made) for c in {c for c, _ in got if c}]
+            yield pd.DataFrame(rows, columns=["subject_id", "core", "season", "year", "studios"]).astype({"year": "Int64"})
 
-    one = _latest(works, "subject_id", ["updated_at"]).select("subject_id", "name", "name_cn", F.col("air_year").cast("int"), F.try_element_at("studios", F.lit(1)).alias("studio"))
-    return one.mapInPandas(run, "subject_id int, core string, season int, year int, studio string")
+    one = _latest(works, "subject_id", ["updated_at"]).select("subject_id", "name", "name_cn", F.col("air_year").cast("int"), "studios")
+    return one.mapInPandas(run, "subject_id int, core string, season int, year int, studios array<string>")
 
 
 def page_names(pages: DataFrame) -> DataFrame:
-    """(pageid, role, core, season, year, studio) of the pages that may describe an animated work."""
+    """(pageid, role, core, season, year, said) of the pages that may describe an animated work."""
 
     def run(batches):
         for b in batches:
@@ -220,36 +245,74 @@ def page_names(pages: DataFrame) -> DataFrame:
                 p = parse_page(title, lead)
                 if p["skip"]:
                     continue
-                for role in ("title", "other", "lead"):
-                    if p[role]:
-                        rows.append((pid, role, p[role], p["season"] or 1, p["year"], p["studio"]))
-            yield pd.DataFrame(rows, columns=["pageid", "role", "core", "season", "year", "studio"]).astype({"year": "Int64"})
+                for role, name in (("title", p["title"]), ("other", p["other"]), *(("lead", x) for x in p["leads"])):
+                    if name:
+                        rows.append((pid, role, name, p["season"] or 1, p["year"], p["said"]))
+            yield pd.DataFrame(rows, columns=["pageid", "role", "core", "season", "year", "said"]).astype({"year": "Int64"})
 
     one = _latest(pages.where("kind = 'series'"), "pageid", ["lastrevid"]).select("pageid", "title", "lead_text")
-    return one.mapInPandas(run, "pageid int, role string, core string, season int, year int, studio string")
+    return one.mapInPandas(run, "pageid int, role string, core string, season int, year int, said string")
 
 
 def scored_pairs(works: DataFrame, pages: DataFrame) -> DataFrame:
-    """(pageid, subject_id, score, title_dice, lead_dice, year_a, year_b, studio_a, studio_b): pairs of close names and one season."""
-    from tanzaku.checkpoints import stored
+    """(pageid, subject_id, score, bin, year_b, years, made): pairs of close names and one season.
 
+    ``years``: 0 equal, 1 neighbours, 2 apart; ``made``: 0 a studio of the work is named, 1 others are. Null where a side is silent.
+    """
     a = stored(page_names(pages), "match-pages")
-    b = stored(work_names(works).groupBy("core", "season", "year", "studio").agg(F.min("subject_id").alias("subject_id")), "match-works")
-    left, right = _vectors(a), _vectors(b)
-    same = a.select("core").distinct().join(b.select("core").distinct(), "core").select(F.col("core").alias("core_a"), F.col("core").alias("core_b"), F.lit(1.0).alias("dice"))
-    rest = left.join(b.select("core").distinct(), "core", "left_anti")
-    near = same.unionByName(close_names(rest, right, b.count()))
-    w = b.select(F.col("core").alias("core_b"), "season", F.col("year").alias("year_b"), F.col("studio").alias("studio_b"), "subject_id")
-    pairs = a.select("pageid", "role", F.col("core").alias("core_a"), "season", F.col("year").alias("year_a"), F.col("studio").alias("studio_a")).join(near, "core_a").join(w, ["core_b", "season"])
-    named_ = lambda r: F.max(F.when(F.col("role").isin(*r), F.col("dice")))
-    got = pairs.groupBy("pageid", "subject_id").agg(
-        named_(("title", "other")).alias("title_dice"), named_(("lead",)).alias("lead_dice"), *[F.first(c, True).alias(c) for c in ("year_a", "year_b", "studio_a", "studio_b")], F.max(F.col("dice") * 0).alias("_z")
-    ).drop("_z")
-    has = a.groupBy("pageid").agg(F.max(F.col("role") == "lead").alias("has_lead"))
+    b = stored(work_names(works).groupBy("core", "season", "year", "studios").agg(F.min("subject_id").alias("subject_id")), "match-works")
+    near = close_names(_vectors(a), _vectors(b))
+    w = b.select(F.col("core").alias("core_b"), "season", F.col("year").alias("year_b"), "studios", "subject_id")
+    pairs = a.select("pageid", "role", F.col("core").alias("core_a"), "season", F.col("year").alias("year_a")).join(near, "core_a").join(w, ["core_b", "season"])
+    best = lambda lead: F.max(F.when((F.col("role") == "lead") == lead, F.col("dice")))
+    got = pairs.groupBy("pageid", "subject_id").agg(best(False).alias("title_dice"), best(True).alias("lead_dice"), *[F.max(c).alias(c) for c in ("year_a", "year_b", "studios")])
+    of = a.groupBy("pageid").agg(F.max(F.col("role") == "lead").alias("has_lead"), F.max("said").alias("said"))
     floor = F.lit(0.55)  # a name that is not close at all counts as that alike
     t, lead = F.coalesce("title_dice", floor), F.coalesce("lead_dice", floor)
     score = F.when(F.col("has_lead"), 0.5 * t + 0.5 * lead).otherwise(t)
-    return got.join(has, "pageid").withColumn("score", score)
+    gap = F.abs(F.col("year_a") - F.col("year_b"))
+    years = F.when(gap.isNotNull(), F.least(gap, F.lit(2)))
+    made = F.when(F.col("said").isNotNull() & (F.size("studios") > 0), F.when(F.exists("studios", lambda x: F.contains(F.col("said"), x)), 0).otherwise(1))
+    bin_ = F.least(F.floor(score * BINS), F.lit(BINS)).cast("int")
+    return got.join(of, "pageid").select("pageid", "subject_id", score.alias("score"), bin_.alias("bin"), "year_b", years.alias("years"), made.alias("made"))
+
+
+def _rising(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The closest rising sequence (pool adjacent violators)."""
+    blocks: list[list[float]] = []
+    for v, w in zip(value, np.maximum(weight, 1e-9)):
+        blocks.append([v, w, 1])
+        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+            (v1, w1, n1), (v2, w2, n2) = blocks[-2:]
+            blocks[-2:] = [[(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, n1 + n2]]
+    return np.concatenate([np.full(n, v) for v, _, n in blocks]) if blocks else value
+
+
+def estimate(cells: list[tuple[int, int | None, int | None, int]], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log odds of a match by score bin, and what years and studios add to them, from counts of (bin, years, made).
+
+    Expectation and maximisation of a mixture of matches and others in which the three are independent; a
+    null counts for neither. The start, ``START``, tells the two classes apart and counts for ``LEAN`` pairs, so that
+    it decides where there are hardly any and nothing where there are many.
+    """
+    n = np.array([c[3] for c in cells], float)
+    bin_, year, made = (np.array([-1 if c[i] is None else c[i] for c in cells], int) for i in range(3))
+    rise = 1 / (1 + np.exp(-(np.arange(BINS + 1) / BINS - 0.85) * 20))
+    odds = np.log(rise / (1 - rise))
+    start = {size: (np.array(m), np.array(u)) for size, (m, u) in START.items()} | {BINS + 1: (rise / rise.sum(), (1 - rise) / (1 - rise).sum())}
+    by_year, by_made = (np.log(start[size][0] / start[size][1]) for size in (3, 2))
+    for _ in range(rounds if len(cells) else 0):
+        x = odds[bin_] + np.where(year < 0, 0, by_year[year]) + np.where(made < 0, 0, by_made[made])
+        p = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        m, u = n * p, n * (1 - p)
+        prior = (m.sum() + 1) / (u.sum() + 1)
+        count = lambda at, w, size, i: np.bincount(at[at >= 0], w[at >= 0], size) + LEAN * start[size][i]
+        share = lambda at, w, size, i: count(at, w, size, i) / count(at, w, size, i).sum()
+        ratio = lambda at, size: np.log(share(at, m, size, 0) / share(at, u, size, 1))
+        new = np.log(prior) + ratio(bin_, BINS + 1)
+        odds = _rising(new, np.bincount(bin_, n, BINS + 1))
+        by_year, by_made = ratio(year, 3), ratio(made, 2)
+    return odds, by_year, by_made
 
 
 def matches(works: DataFrame, pages: DataFrame, least: float = 0.5, first_bonus: float = 1.5) -> DataFrame:
@@ -260,28 +323,14 @@ def matches(works: DataFrame, pages: DataFrame, least: float = 0.5, first_bonus:
     works that are alike in all attributes the smallest subject_id stands for all. ``first_bonus``: odds by
     which the earliest of several works goes before its remakes where nothing else decides.
     """
-    from tanzaku.checkpoints import stored
-
     pairs = stored(scored_pairs(works, pages), "match-pairs")
-    known = pairs.where("year_a is not null and year_b is not null")
-    bins = known.groupBy(F.least(F.floor(F.col("score") * 20), F.lit(20)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.sum((F.abs(F.col("year_a") - F.col("year_b")) <= 0).cast("int")).alias("same"))
-    counted = {r["bin"]: (r["n"], r["same"]) for r in bins.collect()}  # 21 rows at most
-    true, chance = 0.93, 0.028  # agreement of years in true pairs, and by chance over about forty years
-    prior: dict[int, float] = {}
-    level = 0.001
-    for i in range(21):  # few pairs lean on a curve over the score, many on what they show; a better score is never worth less
-        n, same = counted.get(i, (0, 0))
-        shown = min(0.97, max(0.001, (same / n - chance) / (true - chance))) if n else 0.0
-        level = max(level, (n * shown + LEAN * 0.9 / (1 + 10 ** ((0.9 - i / 20) * 15))) / (n + LEAN))
-        prior[i] = min(0.97, level)
-    table = F.create_map(*[F.lit(x) for kv in prior.items() for x in kv])
-    p = F.element_at(table, F.least(F.floor(F.col("score") * 20), F.lit(20)).cast("int"))
-    gap = F.abs(F.col("year_a") - F.col("year_b"))
-    year = F.when(gap.isNull(), 1.0).when(gap == 0, 12.0).when(gap == 1, 1.2).otherwise(0.06)
-    studio = F.when(F.col("studio_a").isNull() | F.col("studio_b").isNull(), 1.0).when(F.col("studio_a") == F.col("studio_b"), 6.0).otherwise(0.15)
+    cells = pairs.groupBy("bin", "years", "made").agg(F.count("*").alias("n")).collect()  # 252 rows at most
+    odds, by_year, by_made = estimate(sorted(((r["bin"], r["years"], r["made"], r["n"]) for r in cells), key=repr))
+    at = lambda col, values: F.coalesce(*[F.when(F.col(col) == i, float(v)) for i, v in enumerate(values)], F.lit(0.0))
+    x = at("bin", odds) + at("years", by_year) + at("made", by_made)
     w = Window.partitionBy("pageid")
-    odds = pairs.withColumn("odds", p / (1 - p) * year * studio)
     first = F.min(F.when(F.col("score") >= 0.999, F.coalesce("year_b", F.lit(9999)))).over(w)
-    odds = odds.withColumn("odds", F.col("odds") * F.when((F.col("score") >= 0.999) & (F.coalesce("year_b", F.lit(9999)) == first), first_bonus).otherwise(1.0))
-    best = odds.withColumn("confidence", F.round(F.col("odds") / (0.25 + F.sum("odds").over(w)), 6)).withColumn("r", F.row_number().over(w.orderBy(F.col("odds").desc(), "subject_id")))
+    bonus = F.when((F.col("score") >= 0.999) & (F.coalesce("year_b", F.lit(9999)) == first), first_bonus).otherwise(1.0)
+    weighed = pairs.withColumn("odds", F.exp(F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))) * bonus)
+    best = weighed.withColumn("confidence", F.round(F.col("odds") / (1.0 + F.sum("odds").over(w)), 6)).withColumn("r", F.row_number().over(w.orderBy(F.col("odds").desc(), "subject_id")))
     return best.where((F.col("r") == 1) & (F.col("confidence") >= least)).select("subject_id", "pageid", "confidence")
