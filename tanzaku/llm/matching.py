@@ -157,17 +157,6 @@ def bit_vector(name: str) -> tuple[int, int]:
     return sign(bits & 0xFFFFFFFFFFFFFFFF), sign(bits >> 64)
 
 
-def _vectors(names: DataFrame) -> DataFrame:
-    """Distinct cores with their vectors (v0, v1)."""
-
-    def run(batches):
-        for b in batches:
-            v = [bit_vector(c) for c in b["core"]]
-            yield b.assign(v0=np.array([x[0] for x in v], np.int64), v1=np.array([x[1] for x in v], np.int64))
-
-    return _spread(names.select("core").where("core != ''").distinct(), "core").mapInPandas(run, "core string, v0 long, v1 long")
-
-
 def _chunk(i: int, chunks: int) -> Column:
     """Bits [i * BITS / chunks, (i + 1) * BITS / chunks) of (v0, v1)."""
     lo, hi = i * BITS // chunks, (i + 1) * BITS // chunks
@@ -180,8 +169,8 @@ def _chunk(i: int, chunks: int) -> Column:
     return parts[0] if len(parts) == 1 else parts[0].bitwiseOR(parts[1])
 
 
-def close_names(left: DataFrame, right: DataFrame, radius: int = RADIUS, chunks: int = CHUNKS) -> DataFrame:
-    """(core_a, core_b, dice) for all pairs of ``left`` and ``right`` (core, v0, v1) within ``radius`` bits."""
+def close_vectors(left: DataFrame, right: DataFrame, radius: int = RADIUS, chunks: int = CHUNKS) -> DataFrame:
+    """(a0, a1, b0, b1, dice) for all pairs of distinct vectors of ``left`` and ``right`` (v0, v1) within ``radius`` bits."""
     flips = radius // chunks
     masks = []
     for i in range(chunks):
@@ -199,18 +188,18 @@ def close_names(left: DataFrame, right: DataFrame, radius: int = RADIUS, chunks:
 
     probe = F.concat(*[near(i) for i in range(chunks) if masks[i]])
     own = F.array(*[place(i) for i in range(chunks) if masks[i]])
-    a = left.select(F.col("core").alias("core_a"), F.col("v0").alias("a0"), F.col("v1").alias("a1"), F.explode(probe).alias("c"))
-    b = right.select(F.col("core").alias("core_b"), F.col("v0").alias("b0"), F.col("v1").alias("b1"), F.explode(own).alias("c"))
+    a = _spread(left.select("v0", "v1"), "v0", "v1").distinct().select(F.col("v0").alias("a0"), F.col("v1").alias("a1"), F.explode(probe).alias("c"))
+    b = _spread(right.select("v0", "v1"), "v0", "v1").distinct().select(F.col("v0").alias("b0"), F.col("v1").alias("b1"), F.explode(own).alias("c"))
     apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     both = F.bit_count(F.col("a0").bitwiseAND(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseAND(F.col("b1")))
     sizes = F.bit_count("a0") + F.bit_count("a1") + F.bit_count("b0") + F.bit_count("b1")
-    # the planner takes exploded probes for as small as their names and would broadcast them: both sides are shuffled instead
-    return a.join(b.hint("shuffle_hash"), "c").where(apart <= radius).select("core_a", "core_b", (2.0 * both / sizes).alias("dice")).distinct()
+    # the planner takes exploded probes for as small as their vectors and would broadcast them: both sides are shuffled instead
+    return a.join(b.hint("shuffle_hash"), "c").where(apart <= radius).select("a0", "a1", "b0", "b1", (2.0 * both / sizes).alias("dice")).distinct()
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` by ``key`` over all shuffle partitions, ahead of functions that cost more than the bytes tell."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` over all shuffle partitions, ahead of functions that cost more than the bytes tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def _latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -219,7 +208,7 @@ def _latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def work_names(works: DataFrame) -> DataFrame:
-    """(subject_id, core, season, year, studios): the names of every work, each core once."""
+    """(subject_id, core, season, year, studios, v0, v1): the names of every work, each core once, with their vectors."""
 
     def run(batches):
         for b in batches:
@@ -228,15 +217,15 @@ def work_names(works: DataFrame) -> DataFrame:
                 got = [named(n) for n in names]
                 season = max((s for _, s in got), default=0) or 1
                 made = sorted({c for x in (studios if studios is not None else ()) if x and len(c := core(plain(x))) > 1})
-                rows += [(sid, c, season, year, made) for c in {c for c, _ in got if c}]
-            yield pd.DataFrame(rows, columns=["subject_id", "core", "season", "year", "studios"]).astype({"year": "Int64"})
+                rows += [(sid, c, season, year, made, *bit_vector(c)) for c in {c for c, _ in got if c}]
+            yield pd.DataFrame(rows, columns=["subject_id", "core", "season", "year", "studios", "v0", "v1"]).astype({"year": "Int64"})
 
     one = _latest(works, "subject_id", ["updated_at"]).select("subject_id", "name", "name_cn", F.col("air_year").cast("int"), "studios")
-    return one.mapInPandas(run, "subject_id int, core string, season int, year int, studios array<string>")
+    return one.mapInPandas(run, "subject_id int, core string, season int, year int, studios array<string>, v0 long, v1 long")
 
 
 def page_names(pages: DataFrame) -> DataFrame:
-    """(pageid, role, core, season, year, said) of the pages that may describe an animated work."""
+    """(pageid, role, season, year, said, v0, v1): the names of the pages that may describe an animated work, as vectors."""
 
     def run(batches):
         for b in batches:
@@ -247,11 +236,11 @@ def page_names(pages: DataFrame) -> DataFrame:
                     continue
                 for role, name in (("title", p["title"]), ("other", p["other"]), *(("lead", x) for x in p["leads"])):
                     if name:
-                        rows.append((pid, role, name, p["season"] or 1, p["year"], p["said"]))
-            yield pd.DataFrame(rows, columns=["pageid", "role", "core", "season", "year", "said"]).astype({"year": "Int64"})
+                        rows.append((pid, role, p["season"] or 1, p["year"], p["said"], *bit_vector(name)))
+            yield pd.DataFrame(rows, columns=["pageid", "role", "season", "year", "said", "v0", "v1"]).astype({"year": "Int64"})
 
     one = _latest(pages.where("kind = 'series'"), "pageid", ["lastrevid"]).select("pageid", "title", "lead_text")
-    return one.mapInPandas(run, "pageid int, role string, core string, season int, year int, said string")
+    return one.mapInPandas(run, "pageid int, role string, season int, year int, said string, v0 long, v1 long")
 
 
 def scored_pairs(works: DataFrame, pages: DataFrame) -> DataFrame:
@@ -260,10 +249,10 @@ def scored_pairs(works: DataFrame, pages: DataFrame) -> DataFrame:
     ``years``: 0 equal, 1 neighbours, 2 apart; ``made``: 0 a studio of the work is named, 1 others are. Null where a side is silent.
     """
     a = stored(page_names(pages), "match-pages")
-    b = stored(work_names(works).groupBy("core", "season", "year", "studios").agg(F.min("subject_id").alias("subject_id")), "match-works")
-    near = close_names(_vectors(a), _vectors(b))
-    w = b.select(F.col("core").alias("core_b"), "season", F.col("year").alias("year_b"), "studios", "subject_id")
-    pairs = a.select("pageid", "role", F.col("core").alias("core_a"), "season", F.col("year").alias("year_a")).join(near, "core_a").join(w, ["core_b", "season"])
+    b = stored(work_names(works).groupBy("core", "season", "year", "studios", "v0", "v1").agg(F.min("subject_id").alias("subject_id")), "match-works")
+    w = b.select(F.col("v0").alias("b0"), F.col("v1").alias("b1"), "season", F.col("year").alias("year_b"), "studios", "subject_id")
+    mine = a.select("pageid", "role", F.col("v0").alias("a0"), F.col("v1").alias("a1"), "season", F.col("year").alias("year_a"))
+    pairs = mine.join(close_vectors(a, b), ["a0", "a1"]).join(w, ["b0", "b1", "season"])
     best = lambda lead: F.max(F.when((F.col("role") == "lead") == lead, F.col("dice")))
     got = pairs.groupBy("pageid", "subject_id").agg(best(False).alias("title_dice"), best(True).alias("lead_dice"), *[F.max(c).alias(c) for c in ("year_a", "year_b", "studios")])
     of = a.groupBy("pageid").agg(F.max(F.col("role") == "lead").alias("has_lead"), F.max("said").alias("said"))
@@ -315,6 +304,20 @@ def estimate(cells: list[tuple[int, int | None, int | None, int]], rounds: int =
     return odds, by_year, by_made
 
 
+def none_weight(sums: list[tuple[float, int]], expected: float) -> float:
+    """The weight of "no work" beside the odds of a page's works, so that pages expect as many matches as pairs do.
+
+    ``sums``: (sum of odds, pages with it). Works that compete for a page make each other's odds as pairs small; at
+    weight 1 that would count twice.
+    """
+    s, n = np.array([x for x, _ in sums] or [1.0]), np.array([x for _, x in sums] or [0.0])
+    lo, hi = -12.0, 0.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (n * s / (np.exp(mid) + s)).sum() > expected else (lo, mid)
+    return float(np.exp(hi))
+
+
 def matches(works: DataFrame, pages: DataFrame, least: float = 0.5, first_bonus: float = 1.5) -> DataFrame:
     """(subject_id, pageid, confidence): for every page at most one work, confidence of at least ``least``.
 
@@ -331,6 +334,10 @@ def matches(works: DataFrame, pages: DataFrame, least: float = 0.5, first_bonus:
     w = Window.partitionBy("pageid")
     first = F.min(F.when(F.col("score") >= 0.999, F.coalesce("year_b", F.lit(9999)))).over(w)
     bonus = F.when((F.col("score") >= 0.999) & (F.coalesce("year_b", F.lit(9999)) == first), first_bonus).otherwise(1.0)
-    weighed = pairs.withColumn("odds", F.exp(F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))) * bonus)
-    best = weighed.withColumn("confidence", F.round(F.col("odds") / (1.0 + F.sum("odds").over(w)), 6)).withColumn("r", F.row_number().over(w.orderBy(F.col("odds").desc(), "subject_id")))
+    plain_odds = F.exp(F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0)))
+    per_page = pairs.withColumn("odds", plain_odds).groupBy("pageid").agg(F.sum("odds").alias("s"), F.sum(F.col("odds") / (1 + F.col("odds"))).alias("e"))
+    sums = per_page.groupBy(F.round(F.ln("s"), 1).alias("l")).agg(F.count("*").alias("n"), F.sum("e").alias("e")).collect()  # 700 rows at most
+    none = none_weight([(float(np.exp(r["l"])), r["n"]) for r in sorted(sums)], sum(r["e"] for r in sorted(sums)))
+    weighed = pairs.withColumn("odds", plain_odds * bonus)
+    best = weighed.withColumn("confidence", F.round(F.col("odds") / (none + F.sum("odds").over(w)), 6)).withColumn("r", F.row_number().over(w.orderBy(F.col("odds").desc(), "subject_id")))
     return best.where((F.col("r") == 1) & (F.col("confidence") >= least)).select("subject_id", "pageid", "confidence")

@@ -29,10 +29,12 @@ def test_multi_index_search_is_exact(spark, chunks):
     chars = "夜桥之寻师极代霜原守者双声晨灯忆影与帆空时旅人的歌"
     names = ["".join(rng.choice(chars) for _ in range(rng.randint(3, 9))) for _ in range(400)]
     other = [n[:i] + rng.choice(chars) + n[i + 1 :] for n in names[:200] for i in [rng.randrange(len(n))]]
-    left, right = (M._vectors(spark.createDataFrame([(x,) for x in set(v)], "core string")) for v in (other, names))
-    got = {(r.core_a, r.core_b) for r in M.close_names(left, right, chunks=chunks).collect()}
-    ones = lambda x: bin(x & (2**64 - 1)).count("1")
     vec = {n: M.bit_vector(n) for n in {*names, *other}}
+    of = {v: n for n, v in vec.items()}
+    assert len(of) == len(vec)
+    left, right = (spark.createDataFrame([vec[x] for x in set(v)], "v0 long, v1 long") for v in (other, names))
+    got = {(of[r.a0, r.a1], of[r.b0, r.b1]) for r in M.close_vectors(left, right, chunks=chunks).collect()}
+    ones = lambda x: bin(x & (2**64 - 1)).count("1")
     want = {(a, b) for a in set(other) for b in set(names) if ones(vec[a][0] ^ vec[b][0]) + ones(vec[a][1] ^ vec[b][1]) <= M.RADIUS}
     assert got == want and len(want) > 50
 
