@@ -47,7 +47,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     cut = split.split_items(_chunks(spark, d), "chunk_id", "text", "section")
-    return cut.select("chunk_id", "piece_no", "start", "end", "cut_kind", "piece").distinct()
+    return cut.select("chunk_id", "piece_no", "start", "end", "cut_kind", "fits", "piece").distinct()
 
 
 # ---------------------------------------------------------------- 8: text quality

@@ -84,19 +84,25 @@ def cut(text: str, room: int, first_room: int) -> tuple[list[int], bool]:
     return path[::-1], natural
 
 
+def fits_beside(label_len: int, limit: int) -> bool:
+    """Whether a label leaves room for a piece that moves on."""
+    return limit - label_len >= 2
+
+
 def pieces(text: str, label_len: int, limit: int, overlap: int) -> tuple[list[tuple[int, int]], bool]:
-    """(start, end) of each piece of ``text`` and whether all cuts could be natural.
+    """(start, end) of each piece of ``text``, and whether all cuts could be natural.
 
-    A label that leaves no room for the overlap and one more character is not counted, and its item is
-    forced. A text that fits is one piece.
+    A label that leaves no room for the overlap and one more character makes its item forced: the overlap shrinks
+    to half of what is left. One that leaves fewer than two characters, ``fits_beside``, is not counted. A text that fits is one piece.
     """
-    most, fits = limit - label_len, True
+    most, natural = limit - label_len, True
     if most <= overlap:
-        most, fits = limit, False
-    if len(text) <= most and fits:
+        natural = False
+        most, overlap = (most, most // 2) if fits_beside(label_len, limit) else (limit, overlap)
+    elif len(text) <= most:
         return [(0, len(text))], True
-    path, natural = cut(text, most - overlap, most)
-    return [(max(0, a - overlap) if a else 0, b) for a, b in zip(path, path[1:])], natural and fits
+    path, ends = cut(text, most - overlap, most)
+    return [(max(0, a - overlap) if a else 0, b) for a, b in zip(path, path[1:])], natural and ends
 
 
 def oversized(text: Column, section: Column, limit: int = 600) -> Column:
@@ -105,28 +111,31 @@ def oversized(text: Column, section: Column, limit: int = 600) -> Column:
 
 
 def split_items(df: DataFrame, key: str, text: str, section: str, limit: int = 600, overlap: int = 50, with_text: bool = True) -> DataFrame:
-    """(key, piece_no, start, end, cut_kind[, piece]) for every row of ``df`` that is over ``limit``.
+    """(key, piece_no, start, end, cut_kind, fits[, piece]) for every row of ``df`` that is over ``limit``.
 
     Rows with a null key or text, and rows that fit, give nothing; an empty section is a label of two
     characters, a null one none. Repeated rows give repeated pieces. ``start`` counts from 0; without
-    their overlaps the pieces join to the text. ``cut_kind`` is ``natural`` or ``forced``.
+    their overlaps the pieces join to the text. ``cut_kind`` is ``natural`` or ``forced``; ``fits`` is false where
+    the label alone fills the limit.
     """
     kind = df.schema[key].dataType.simpleString()
-    fields = f"{key} {kind}, piece_no int, start int, end int, cut_kind string" + (", piece string" if with_text else "")
+    fields = f"{key} {kind}, piece_no int, start int, end int, cut_kind string, fits boolean" + (", piece string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, no, start, end, how, part = [], [], [], [], [], []
+            keys, no, start, end, how, fit, part = [], [], [], [], [], [], []
             for k, t, s in zip(*(b.column(i).to_pylist() for i in range(3))):
-                spans, natural = pieces(t, len(s) + 2 if s is not None else 0, limit, overlap)
+                label = len(s) + 2 if s is not None else 0
+                spans, natural = pieces(t, label, limit, overlap)
                 keys += [k] * len(spans)
                 no += range(1, len(spans) + 1)
                 start += [a for a, _ in spans]
                 end += [e for _, e in spans]
                 how += ["natural" if natural else "forced"] * len(spans)
+                fit += [fits_beside(label, limit)] * len(spans)
                 if with_text:
                     part += [t[a:e] for a, e in spans]
-            cols = [pa.array(keys, b.column(0).type), pa.array(no, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(how, pa.string())]
+            cols = [pa.array(keys, b.column(0).type), pa.array(no, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(how, pa.string()), pa.array(fit, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(part, pa.string())] if with_text else []), names=[x.split()[0] for x in fields.split(", ")])
 
     over = df.select(key, text, section).where(F.col(key).isNotNull() & oversized(F.col(text), F.col(section), limit))

@@ -6,6 +6,8 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import pytest
+
 from tanzaku.llm import split
 
 
@@ -86,3 +88,17 @@ def test_marks_stay_with_their_letters():
     text = ("ｶﾞ" * 800)
     spans, _ = split.pieces(text, 0, 600, 50)
     assert not any(re.match("[ﾞ゙]", text[b : b + 1]) for _, b in spans)
+
+
+@pytest.mark.parametrize("label", [540, 551, 560, 597, 598])
+def test_long_labels_keep_the_limit(label):
+    text = "字" * 900
+    spans, natural = split.pieces(text, label, 600, 50)
+    assert all(b - a + label <= 600 for a, b in spans) and spans[0][0] == 0 and spans[-1][1] == 900
+    assert all(a2 <= b1 < b2 for (_, b1), (a2, b2) in zip(spans, spans[1:])) and not natural
+
+
+def test_labels_that_fill_the_limit_are_told(spark):
+    df = spark.createDataFrame([(1, "字" * 900, "标" * 598), (2, "字" * 900, "标" * 560)], "k long, t string, s string")
+    got = {r.k: r.fits for r in split.split_items(df, "k", "t", "s").collect()}
+    assert got == {1: False, 2: True}
