@@ -202,10 +202,10 @@ def label_language(label: Column) -> Column:
 
 
 def fit_on(df: DataFrame, text: str, label: str, per_language: int = 300, most_chars: int = 2000) -> Filter:
-    """The filter fitted on at most ``per_language`` labelled texts of each language, of which ``most_chars`` characters each are read."""
+    """The filter fitted on at most ``per_language`` labelled texts of each language, of which ``most_chars`` characters each are read; repeated rows count once."""
     named = df.select(label_language(F.col(label)).alias("lang"), F.substring(F.col(text), 1, most_chars).alias("text")).where(F.col("lang").isin(*LANGS) & (F.length("text") > 20))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    rows = named.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).select("lang", "text").collect()  # bounded: 7 x per_language
+    rows = named.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= per_language).select("lang", "text").distinct().collect()  # bounded: 7 x per_language
     return fit(sorted((r["lang"], r["text"]) for r in rows))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tanzaku.llm import knn, langid, leakage, lookalike, matching, packing, quality, split
-from tanzaku.tables import few_splits, load, spread
+from tanzaku.tables import load, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,19 +75,17 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    """(rec_table, rec_key, text, label), each key once."""
+    """(rec_table, rec_key, text, label) of all rows with a key and a text."""
     a = load(spark, d, "anime_profile", ["subject_id", "summary", "summary_lang"]).toDF("rec_key", "text", "label").withColumn("rec_table", F.lit("anime_profile"))
     b = load(spark, d, "translation", ["src_sha", "src", "src_lang"]).toDF("rec_key", "text", "label").withColumn("rec_table", F.lit("translation"))
-    both = a.withColumn("rec_key", F.col("rec_key").cast("string")).unionByName(b).where("text is not null and rec_key is not null")
-    once = both.dropDuplicates(["rec_table", "rec_key"])  # combined before the shuffle, so copies of one key never meet
-    n = spark.sparkContext.defaultParallelism
-    return once.repartition(n) if few_splits(a) and few_splits(b) else once
+    return a.withColumn("rec_key", F.col("rec_key").cast("string")).unionByName(b).where("text is not null and rec_key is not null")
 
 
 def _stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Each key once, with the least text and label of its rows; they are combined before the shuffle, so copies of one key never meet."""
     texts = _texts(spark, d)
-    named = texts.withColumn("named", langid.label_language(F.col("label")))
-    return langid.language_stretches(named, ["rec_table", "rec_key", "named"], "text", langid.fit_on(texts, "text", "label"))
+    once = texts.groupBy("rec_table", "rec_key").agg(F.min(F.struct("text", "label")).alias("m")).select("rec_table", "rec_key", "m.text", langid.label_language(F.col("m.label")).alias("named"))
+    return langid.language_stretches(once, ["rec_table", "rec_key", "named"], "text", langid.fit_on(texts, "text", "label"))
 
 
 @query
