@@ -16,11 +16,10 @@ def load(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | N
     return df.select(*columns) if columns else df
 
 
-def few_splits(scan: DataFrame) -> bool:
-    """Whether a scan has so few splits that most cores would idle."""
-    return scan._jdf.queryExecution().toRdd().getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism // 2
+SMALL_SCAN = 16  #: a scan of fewer splits, 2 GB with the usual ones, is small enough to be dealt out anew
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan of few splits over all cores, ahead of costly functions; one of many stays as it is."""
-    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism) if few_splits(scan) else scan
+    """A scan of so few splits that most cores would idle over all of them, ahead of costly functions; any other stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < min(cores // 2, SMALL_SCAN) else scan

@@ -214,3 +214,16 @@ def test_two_stage_prefers_the_first(spark):
     names = docs.select("k", F.col("a").alias("n"))
     assert [r.k for r in H.two_stage(index, names, "k", "n", "red", ["red"]).collect()] == [1, 2]
     assert [(r.k, r.stage) for r in H.two_stage(index, names, "k", "n", "compas", ["compas"]).collect()] == [(2, 2)]
+
+
+def test_stored_tables_are_cleared(spark):
+    from pathlib import Path
+
+    from tanzaku import checkpoints
+
+    df = checkpoints.stored(spark.range(5), "some")
+    folder = Path(checkpoints._folder(spark).removeprefix("file://"))
+    assert df.count() == 5 and list(folder.iterdir())
+    checkpoints.clear(spark)
+    assert not folder.exists()
+    assert checkpoints.stored(spark.range(3), "more").count() == 3
