@@ -103,14 +103,8 @@ def _props(e: DataFrame) -> DataFrame:
     return e.select("event_id", p["k"].alias("k"), p["none"].isNull().alias("no_none"))
 
 
-@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) k, json_extract_string(props, '$.none') is null no_none from events where event_id % 10 = 0")
+@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) k, json_extract_string(props, '$.none') is null no_none from events")
 def json_nested_scan(spark, d):
-    return _props(load(spark, d, "events", ["event_id", "props"]).where("event_id % 10 = 0"))
-
-
-@query()
-def json_nested_scan_whole(spark, d):
-    """Of all events; the query above is the part that its SQL covers."""
     return _props(load(spark, d, "events", ["event_id", "props"]))
 
 
@@ -123,11 +117,11 @@ def semi_and_default_join(spark, d):
     return j.groupBy("l_partkey").agg(F.count("*").alias("n"), F.count_distinct("o_orderpriority").alias("kinds"))
 
 
-CREDITS = "select distinct l_partkey item, l_suppkey % 5 pos, s_name as name from lineitem join supplier on s_suppkey = l_suppkey where l_partkey % 20 = 0"
+CREDITS = "select distinct l_partkey item, l_suppkey % 5 pos, s_name as name from lineitem join supplier on s_suppkey = l_suppkey"
 
 
-def _credits(spark: SparkSession, d: str, part: str = "true") -> DataFrame:
-    li = load(spark, d, "lineitem", ["l_partkey", "l_suppkey"]).where(part)
+def _credits(spark: SparkSession, d: str) -> DataFrame:
+    li = load(spark, d, "lineitem", ["l_partkey", "l_suppkey"])
     s = load(spark, d, "supplier", ["s_suppkey", "s_name"])
     c = li.join(s, F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("l_partkey").alias("item"), (F.col("l_suppkey") % 5).alias("pos"), "s_name")
     lists = c.groupBy("item", "pos").agg(F.array_join(F.slice(F.array_sort(F.collect_set("s_name")), 1, 3), "/").alias("names"))  # suppliers of one part
@@ -137,12 +131,6 @@ def _credits(spark: SparkSession, d: str, part: str = "true") -> DataFrame:
 
 @query(f"with c as ({CREDITS}), r as (select *, row_number() over (partition by item, pos order by name) r from c), l as (select item, pos, string_agg(name, '/' order by r) filter (r <= 3) as names from r group by 1, 2) select item, coalesce(max(names) filter (pos = 4), max(names) filter (pos = 3), max(names) filter (pos = 2)) studio, max(names) filter (pos = 1) director from l group by 1")
 def credits_aggregate(spark, d):
-    return _credits(spark, d, "l_partkey % 20 = 0")
-
-
-@query()
-def credits_aggregate_whole(spark, d):
-    """Of all parts; the query above is the part that its SQL covers."""
     return _credits(spark, d)
 
 

@@ -66,24 +66,18 @@ def _roles(spark: SparkSession, d: str) -> DataFrame:
 NAMES = "select p_partkey as character, p_brand as name, 1 rank from part where p_partkey % 2 = 0 union all select p_partkey, p_type, 2 from part"
 
 
-def _roles_of(spark: SparkSession, d: str, part: str = "true") -> DataFrame:
+def _roles_of(spark: SparkSession, d: str) -> DataFrame:
     w = load(spark, d, "orders", ["o_orderkey", "o_totalprice"]).toDF("work", "popularity")
     p = load(spark, d, "part", ["p_partkey", "p_brand", "p_type"])
     names = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("character"), F.col("p_brand").alias("name"), F.lit(1).alias("rank")).unionByName(p.select(F.col("p_partkey").alias("character"), F.col("p_type").alias("name"), F.lit(2).alias("rank")))
-    return L.roles_of(_roles(spark, d).where(part), w, names).withColumn("popularity", F.round("popularity", 2))
+    return L.roles_of(_roles(spark, d), w, names).withColumn("popularity", F.round("popularity", 2))
 
 
-@query(f"""with r as (select l_suppkey person, l_partkey as character, l_orderkey as work, case when l_linenumber <= 3 then l_linenumber end role_type, o_totalprice popularity from lineitem join orders on o_orderkey = l_orderkey where l_suppkey <= 20),
+@query(f"""with r as (select l_suppkey person, l_partkey as character, l_orderkey as work, case when l_linenumber <= 3 then l_linenumber end role_type, o_totalprice popularity from lineitem join orders on o_orderkey = l_orderkey),
 best as (select distinct on (person, character) * from r order by person, character, coalesce(role_type = 1, false) desc, popularity desc nulls last, work),
 names as (select distinct on (character) character, name from ({NAMES}) order by character, rank, name)
 select person, character, name, work, role_type, round(popularity, 2) popularity from best left join names using (character)""")
 def roles_of(spark, d):
-    return _roles_of(spark, d, "person <= 20")
-
-
-@query()
-def roles_of_whole(spark, d):
-    """Of all people; the query above is the part that its SQL covers."""
     return _roles_of(spark, d)
 
 
@@ -102,21 +96,15 @@ def find_person_left_join_having(spark, d):
     return g.where("n >= 10").drop("n")
 
 
-def _voices_three_way(spark: SparkSession, d: str, part: str = "true") -> DataFrame:
-    li = load(spark, d, "lineitem", ["l_partkey", "l_suppkey", "l_orderkey"]).where(part)
+def _voices_three_way(spark: SparkSession, d: str) -> DataFrame:
+    li = load(spark, d, "lineitem", ["l_partkey", "l_suppkey", "l_orderkey"])
     s, o = load(spark, d, "supplier", ["s_suppkey", "s_name"]), load(spark, d, "orders", ["o_orderkey", "o_orderdate"])
     j = li.join(s, F.col("s_suppkey") == F.col("l_suppkey")).join(o, F.col("o_orderkey") == F.col("l_orderkey"))
     return j.groupBy("l_partkey", "s_name", F.col("o_orderdate").cast("date").alias("first_date")).agg(F.count("*").alias("n"))
 
 
-@query("select l_partkey, s_name, o_orderdate::date first_date, count(*) n from lineitem join supplier on s_suppkey = l_suppkey join orders on o_orderkey = l_orderkey where l_partkey <= 50 group by 1, 2, 3")
+@query("select l_partkey, s_name, o_orderdate::date first_date, count(*) n from lineitem join supplier on s_suppkey = l_suppkey join orders on o_orderkey = l_orderkey group by 1, 2, 3")
 def voices_three_way(spark, d):
-    return _voices_three_way(spark, d, "l_partkey <= 50")
-
-
-@query()
-def voices_three_way_whole(spark, d):
-    """Of all parts; the query above is the part that its SQL covers."""
     return _voices_three_way(spark, d)
 
 
@@ -126,39 +114,27 @@ def season_window_total(spark, d):
     return L.season(w, 2016, 8, 5, order=[F.col("fav_done").desc_nulls_last(), F.col("subject_id")]).select("subject_id", "air_date", "total")
 
 
-def _quarter_functions(spark: SparkSession, d: str, part: str = "true") -> DataFrame:
-    o = load(spark, d, "orders", ["o_orderkey", "o_orderdate"]).where(part).withColumn("day", F.col("o_orderdate").cast("date"))
+def _quarter_functions(spark: SparkSession, d: str) -> DataFrame:
+    o = load(spark, d, "orders", ["o_orderkey", "o_orderdate"]).withColumn("day", F.col("o_orderdate").cast("date"))
     q, (lo, hi) = D.quarter_start(F.col("day")), D.season_window(F.col("day"))
     return o.select("o_orderkey", q.alias("q_start"), D.shift_quarters(q, 1).alias("next_quarter"), lo.alias("window_from"), hi.alias("window_to"), (F.year("day") * 100 + F.month("day")).cast("long").alias("ym"))
 
 
 @query("""select o_orderkey, date_trunc('quarter', o_orderdate)::date q_start, (date_trunc('quarter', o_orderdate) + interval 3 month)::date next_quarter, (date_trunc('quarter', o_orderdate) - interval 3 month - interval 7 day)::date window_from,
-(date_trunc('quarter', o_orderdate) + interval 6 month - interval 1 day)::date window_to, year(o_orderdate) * 100 + month(o_orderdate) as ym from orders where o_orderkey % 50 = 0""")
+(date_trunc('quarter', o_orderdate) + interval 6 month - interval 1 day)::date window_to, year(o_orderdate) * 100 + month(o_orderdate) as ym from orders""")
 def quarter_functions(spark, d):
-    return _quarter_functions(spark, d, "o_orderkey % 50 = 0")
-
-
-@query()
-def quarter_functions_whole(spark, d):
-    """Of all orders; the query above is the part that its SQL covers."""
     return _quarter_functions(spark, d)
 
 
-def _detail_projection(spark: SparkSession, d: str, part: str = "true") -> DataFrame:
-    w = works(spark, d, ["name", "name_cn", "air_year", "tags"]).where(part)
+def _detail_projection(spark: SparkSession, d: str) -> DataFrame:
+    w = works(spark, d, ["name", "name_cn", "air_year", "tags"])
     tags = F.array_sort(F.transform("tags", lambda t: F.struct((-t["count"]).alias("c"), t["name"].alias("n"))))
     text = F.array_join(F.transform(tags, lambda t: F.concat(t["n"], F.lit(":"), (-t["c"]).cast("string"))), ",")
     return w.select("subject_id", F.coalesce("name_cn", "name").alias("title"), F.col("air_year").cast("long").alias("air_year"), F.size("tags").cast("long").alias("n_tags"), F.nullif(text, F.lit("")).alias("tag_list"))
 
 
-@query(f"with p as ({PROFILE}) select subject_id, coalesce(name_cn, name) title, air_year::bigint air_year, len(tags) n_tags, (select string_agg(t.name || ':' || t.count, ',' order by t.count desc, t.name) from unnest(tags) u(t)) tag_list from p where subject_id % 10 = 3")
+@query(f"with p as ({PROFILE}) select subject_id, coalesce(name_cn, name) title, air_year::bigint air_year, len(tags) n_tags, (select string_agg(t.name || ':' || t.count, ',' order by t.count desc, t.name) from unnest(tags) u(t)) tag_list from p")
 def detail_projection(spark, d):
-    return _detail_projection(spark, d, "subject_id % 10 = 3")
-
-
-@query()
-def detail_projection_whole(spark, d):
-    """Of all works; the query above is the part that its SQL covers."""
     return _detail_projection(spark, d)
 
 

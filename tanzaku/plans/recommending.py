@@ -219,23 +219,17 @@ def recommend_min_score_floor(spark, d):
     return run(spark, d, min_score=5.2, include_nsfw=True)
 
 
-def _explain_reasons(spark: SparkSession, d: str, part: str = "true") -> DataFrame:
+def _explain_reasons(spark: SparkSession, d: str) -> DataFrame:
     i = items(spark, d)
     pref = R.preference_vectors(ratings(spark, d, USER), i).select("pref")
-    got = R.reasons(pref, i.where(part).select("item_id", "vec"))
+    got = R.reasons(pref, i.select("item_id", "vec"))
     return got.select("item_id", F.col("pos").cast("long").alias("pos"), F.round("part", 6).alias("part"), "position")
 
 
-@query(f"""with {RATED}, {ITEMS}, {PREF}, parts as (select item_id, unnest(list_zip(pv, vec::double[])) z, generate_subscripts(pv, 1) - 1 pos from items cross join pref where item_id < 100),
+@query(f"""with {RATED}, {ITEMS}, {PREF}, parts as (select item_id, unnest(list_zip(pv, vec::double[])) z, generate_subscripts(pv, 1) - 1 pos from items cross join pref),
 p as (select item_id, pos, z[1] * z[2] part from parts), r as (select *, row_number() over (partition by item_id order by part desc, pos) as position from p where part > 0)
 select item_id, pos, round(part, 6) part, position from r where position <= 4""")
 def explain_reasons(spark, d):
-    return _explain_reasons(spark, d, "item_id < 100")
-
-
-@query()
-def explain_reasons_whole(spark, d):
-    """Of all items; the query above is the part that its SQL covers."""
     return _explain_reasons(spark, d)
 
 

@@ -65,15 +65,15 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 CHUNKS = "c as (select distinct on (chunk_id) chunk_id, coalesce(pageid, character_id) % 5 root, case when kind = 'songs' then 'songs' when character_id is not null then 'char' else 'series' end layer, spoiler_level, vec from plot_chunk where len(vec) = 96 and len(list_filter(vec, lambda x: isnan(x))) = 0)"
-RECALL = f"""{CHUNKS}, q as (select chunk_id qid, root, vec qvec from c where chunk_id in (select chunk_id from c order by chunk_id limit 4)),
+RECALL = f"""{CHUNKS}, q as (select chunk_id qid, root, vec qvec from c where chunk_id % 50 = 0),
 s as (select qid, chunk_id, layer, round(list_inner_product(qvec::double[], vec::double[]), 9) score from c join q using (root) where spoiler_level = 0),
 r as (select *, row_number() over (partition by qid, layer order by score desc, chunk_id) rn from s), recalled as (select * from r where rn <= case layer when 'char' then 40 when 'series' then 10 else 3 end)"""
 
 
 def _recalled(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d)
-    q = c.orderBy("chunk_id").limit(4).select(F.col("chunk_id").alias("qid"), "root", F.col("vec").alias("qvec"))
-    return R.recall(q, c)
+    q = c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("qid"), "root", F.col("vec").alias("qvec"))
+    return R.recall_many(q, c)
 
 
 @query(f"with {RECALL} select qid, chunk_id, layer, rn, round(score, 6) score from recalled")
@@ -81,14 +81,6 @@ def recall_quota(spark, d):
     return _recalled(spark, d).select("qid", "chunk_id", "layer", F.col("rn").cast("long").alias("rn"), F.round("score", 6).alias("score"))
 
 
-@query()
-def recall_quota_whole(spark, d):
-    """Of every chunk whose id is divisible by 50; the query above is the part that its SQL covers."""
-    c = _chunks(spark, d)
-    q = c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("qid"), "root", F.col("vec").alias("qvec"))
-    return R.recall_many(q, c).select("qid", "chunk_id", "layer", F.col("rn").cast("long").alias("rn"), F.round("score", 6).alias("score"))
-
-
 PINNED = "w as (select distinct character_id % 7 qid, character_id from plot_chunk where character_id is not null and character_id % 3 = 0), pc as (select distinct chunk_id, character_id, chunk_no from plot_chunk), pinned as (select qid, chunk_id, row_number() over (partition by qid order by character_id, chunk_no, chunk_id) as position from pc join w using (character_id) qualify position <= 40)"
 
 
@@ -103,16 +95,8 @@ def pinned_topn(spark, d):
     return _pinned(spark, d)
 
 
-@query(f"with {PINNED}, a as (select qid, chunk_id, 0 src, position from pinned where qid < 3), b as (select chunk_id % 3 qid, chunk_id, 1 src, chunk_id as position from pc where chunk_id <= 60), u as (select qid, chunk_id, min((src, position)) as pos from (select * from a union all select * from b) group by 1, 2) select qid, chunk_id, row_number() over (partition by qid order by pos, chunk_id) as position from u")
+@query(f"with {PINNED}, a as (select qid, chunk_id, 0 src, position from pinned), b as (select chunk_id % 3 qid, chunk_id, 1 src, chunk_id as position from pc), u as (select qid, chunk_id, min((src, position)) as pos from (select * from a union all select * from b) group by 1, 2) select qid, chunk_id, row_number() over (partition by qid order by pos, chunk_id) as position from u")
 def merge_keep_first(spark, d):
-    b = load(spark, d, "plot_chunk", ["chunk_id"]).where("chunk_id <= 60").distinct()
-    b = b.select((F.col("chunk_id") % 3).cast("int").alias("qid"), "chunk_id", F.col("chunk_id").alias("position"))
-    return R.keep_first([_pinned(spark, d).where("qid < 3"), b], "qid", "chunk_id", "position")
-
-
-@query()
-def merge_keep_first_whole(spark, d):
-    """Of the whole lists; the query above is the part that its SQL covers."""
     b = load(spark, d, "plot_chunk", ["chunk_id"]).distinct()
     b = b.select((F.col("chunk_id") % 3).cast("int").alias("qid"), "chunk_id", F.col("chunk_id").alias("position"))
     return R.keep_first([_pinned(spark, d), b], "qid", "chunk_id", "position")

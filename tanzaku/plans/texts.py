@@ -87,9 +87,9 @@ def kind_classify(spark, d):
 HTML_OPEN = "'<section><h2>' || coalesce(section, '') || '</h2><p>' || text || '</p></section>'"
 
 
-def pages(spark: SparkSession, d: str, part: str = "true") -> DataFrame:
+def pages(spark: SparkSession, d: str) -> DataFrame:
     """pageid, html: a page made of the chunks of one page, to be read back."""
-    c = load(spark, d, "plot_chunk", ["chunk_id", "pageid", "section", "text", "chunk_no"]).where("pageid is not null").where(part).distinct()
+    c = load(spark, d, "plot_chunk", ["chunk_id", "pageid", "section", "text", "chunk_no"]).where("pageid is not null").distinct()
     one = F.concat(F.lit("<h2>"), F.coalesce("section", F.lit("")), F.lit('</h2><p>'), F.regexp_replace("text", "[<>&]", " "), F.lit('</p><a href="/'), F.col("chunk_no").cast("string"), F.lit('">x</a>'))
     return c.groupBy("pageid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", one.alias("h")))), lambda x: x["h"]), "").alias("html"))
 
@@ -99,14 +99,8 @@ def html_sections(spark, d):
     return C.html_sections(pages(spark, d), "pageid", "html")
 
 
-@query("select distinct pageid, chunk_no::varchar link from plot_chunk where pageid is not null and pageid % 4 = 0")
+@query("select distinct pageid, chunk_no::varchar link from plot_chunk where pageid is not null")
 def html_links(spark, d):
-    return pages(spark, d, "pageid % 4 = 0").select("pageid", F.explode(C.links(F.col("html"))).alias("link"))
-
-
-@query()
-def html_links_whole(spark, d):
-    """Of all pages; the query above is the part that its SQL covers."""
     return pages(spark, d).select("pageid", F.explode(C.links(F.col("html"))).alias("link"))
 
 
