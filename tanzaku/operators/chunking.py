@@ -1,12 +1,10 @@
-"""Pages to chunks: section tree of HTML, kinds, sentence packing, credit and song lists."""
+"""Kinds of sections, sentence packing, links."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from html.parser import HTMLParser
-from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,22 +60,36 @@ def sentences(text: str, most: int = MOST) -> list[str]:
     return [s for s in out if not s.isspace()]
 
 
-def pack_sentences(blocks: list[str], target: int = TARGET, most: int = MOST, least: int = LEAST) -> list[str]:
-    """Greedy chunks of about ``target`` characters; a short tail joins the chunk before it, which may then exceed ``most`` by less than ``least``."""
-    groups: list[list[str]] = []
+def pack_blocks(blocks: list[tuple[str, int, bool]], target: int = TARGET, most: int = MOST, least: int = LEAST) -> list[tuple[str, int, bool]]:
+    """Greedy chunks of about ``target`` characters of (text, hidden characters, flag).
+
+    Hidden characters of a block are dealt out to its sentences in proportion to their length, rounded down; a flag holds for every
+    chunk that has a sentence of its block. A short tail joins the chunk before it, which may then exceed
+    ``most`` by less than ``least``.
+    """
+    groups: list[list[tuple[str, int, bool]]] = []
     size = target  # as if full, so that the first sentence opens a group
-    for s in chain.from_iterable(sentences(b, most) for b in blocks):
-        if size >= target or size >= least and size + len(s) > most:
-            groups.append([])
-            size = 0
-        groups[-1].append(s)
-        size += len(s)
-    chunks = [c for c in ("".join(g).strip() for g in groups) if c]
-    if len(chunks) > 1 and len(chunks[-1]) < least:
-        chunks[-2:] = [chunks[-2] + chunks[-1]]
+    for text, hidden, flag in blocks:
+        share = hidden / len(text) if text else 0.0
+        for s in sentences(text, most):
+            if size >= target or size >= least and size + len(s) > most:
+                groups.append([])
+                size = 0
+            groups[-1].append((s, int(len(s) * share), flag))
+            size += len(s)
+    made = [("".join(s for s, _, _ in g).strip(), sum(h for _, h, _ in g), any(f for _, _, f in g)) for g in groups]
+    chunks = [c for c in made if c[0]]
+    if len(chunks) > 1 and len(chunks[-1][0]) < least:
+        (a, m, f), (b, n, g) = chunks[-2:]
+        chunks[-2:] = [(a + b, m + n, f or g)]
     return chunks
 
 
+def pack_sentences(blocks: list[str], target: int = TARGET, most: int = MOST, least: int = LEAST) -> list[str]:
+    """``pack_blocks`` of texts alone."""
+    return [c[0] for c in pack_blocks([(b, 0, False) for b in blocks], target, most, least)]
+
+
 def chunk_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, chunk_no, chunk): packed chunks of each text, numbered from 0; null texts give none."""
     kind = df.schema[key].dataType.simpleString()
@@ -90,94 +102,10 @@ def chunk_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).where(F.col(text).isNotNull()).mapInPandas(run, f"{key} {kind}, chunk_no int, chunk string")
 
 
-class _Sections(HTMLParser):
-    """Text of each section of a page, headings as its path; scripts, styles and navigation are dropped."""
-
-    BLOCKS, DROP = {"p", "li", "dd", "dt", "blockquote"}, {"script", "style", "nav", "sup", "figure"}
-    HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-
-    def __init__(self, marks: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.marks, self.path, self.out = marks, [], []
-        self.head, self.block, self.dropped, self.marked, self.hidden = None, None, 0, 0, 0
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag in self.DROP or self.dropped and tag not in ("br", "img", "hr", "input", "meta", "link"):
-            self.dropped += 1
-        elif tag in self.HEADS:
-            self.head = (int(tag[1]), "")
-        elif tag in self.BLOCKS:
-            self._close()
-            self.block, self.hidden = "", 0
-        elif self.marked or self.marks in (a.get("class") or "").split():
-            self.marked += tag not in ("br", "img")
-        if tag == "br" and self.block is not None:
-            self.block += "\n"
-
-    def handle_endtag(self, tag):
-        if self.dropped:
-            self.dropped -= 1
-        elif tag in self.HEADS and self.head:
-            level, title = self.head
-            self.path = [p for p in self.path if p[0] < level] + [(level, title.strip())]
-            self.head = None
-        elif tag in self.BLOCKS:
-            self._close()
-        elif self.marked:
-            self.marked -= 1
-
-    def handle_data(self, data):
-        if self.dropped:
-            return
-        if self.head:
-            self.head = (self.head[0], self.head[1] + data)
-        elif self.block is not None:
-            self.block += data
-            self.hidden += len(data.strip()) if self.marked else 0
-
-    def _close(self):
-        if self.block is not None and len(self.block.strip()) >= BLOCK_LEAST:
-            self.out.append(("/".join(t for _, t in self.path), re.sub(r"[ \t]+", " ", self.block).strip(), self.hidden))
-        self.block = None
-
-
-def html_sections(pages: DataFrame, key: str, html: str, marks: str = "heimu") -> DataFrame:
-    """(key, block_no, section, text, hidden): text blocks of HTML pages with their heading path and the characters under marks of class ``marks``."""
-    kind = pages.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, h in zip(b[key], b[html]):
-                p = _Sections(marks)
-                p.feed(h)
-                p.close()
-                p._close()
-                rows += [(k, i, *x) for i, x in enumerate(p.out)]
-            yield pd.DataFrame(rows, columns=[key, "block_no", "section", "text", "hidden"])
-
-    return pages.select(key, html).where(F.col(html).isNotNull()).mapInPandas(run, f"{key} {kind}, block_no int, section string, text string, hidden int")
-
-
 def links(html: Column) -> Column:
     """Distinct internal link targets of a page, without other namespaces."""
     return F.filter(F.array_distinct(F.regexp_extract_all(html, F.lit(r'href="/([^"#?]+)'), F.lit(1))), lambda x: ~x.contains(":"))
 
 
-def song_labels(lines: list[str], labels: str = r"^(?:片头曲|片尾曲|插曲|主题曲|OP|ED)\d*$", stages: str = r"^(?:第.+[季期部]|TV版|剧场版)$") -> list[str]:
-    """Lines of a song section, each behind the stage and kind under which it stands; labels do not come out alone."""
-    stage = kind = ""
-    out = []
-    for line in (x.strip() for x in lines):
-        if re.match(stages, line):
-            stage, kind = line, ""
-        elif re.match(labels, line):
-            kind = line
-        elif line:
-            out.append(" ".join(x for x in (stage, kind, line) if x))
-    return out
-
-
 def spoiler_level(hidden: Column, box: Column) -> Column:
     return F.when((hidden > 0) | box, 1).otherwise(0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tanzaku.functions import text as T
 from tanzaku.operators import chunking as C
+from tanzaku.operators import pages as G
 from tanzaku.operators import routing as Q
 from tanzaku.plans.registry import query
 from tanzaku.plans.selecting import PROFILE, works
@@ -84,24 +85,30 @@ def kind_classify(spark, d):
     return c.groupBy(C.kind_of(F.col("section"), F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-HTML_OPEN = "'<section><h2>' || coalesce(section, '') || '</h2><p>' || text || '</p></section>'"
-
-
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    """pageid, html: a page made of the chunks of one page, to be read back."""
-    c = load(spark, d, "plot_chunk", ["chunk_id", "pageid", "section", "text", "chunk_no"]).where("pageid is not null").distinct()
-    one = F.concat(F.lit("<h2>"), F.coalesce("section", F.lit("")), F.lit('</h2><p>'), F.regexp_replace("text", "[<>&]", " "), F.lit('</p><a href="/'), F.col("chunk_no").cast("string"), F.lit('">x</a>'))
-    return c.groupBy("pageid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", one.alias("h")))), lambda x: x["h"]), "").alias("html"))
+    """page, pageid, html: pages made of up to 64 chunks of one page each, to be read back; every chunk is a section of its own, with its number as link."""
+    c = load(spark, d, "plot_chunk", ["chunk_id", "pageid", "section", "text", "chunk_no", "heimu_chars"]).where("pageid is not null").distinct()
+    clean = F.regexp_replace("text", "[<>&]", " ")
+    cut = F.least(F.coalesce("heimu_chars", F.lit(0)), F.length("text"))
+    text = F.concat(F.lit('<span class="heimu">'), F.left(clean, cut), F.lit("</span>"), F.substring(clean, cut + 1, F.length("text")))
+    one = F.concat(F.lit('<section data-mw-section-id="'), F.col("chunk_id").cast("string"), F.lit('"><h2>'), F.coalesce("section", F.lit("")), F.lit("</h2><p>"), text, F.lit('</p><a href="/'), F.col("chunk_no").cast("string"), F.lit('">x</a></section>'))
+    page = F.concat_ws("-", "pageid", F.floor(F.col("chunk_id") / 64))
+    return c.groupBy(page.alias("page"), "pageid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", one.alias("h")))), lambda x: x["h"]), "").alias("html"))  # 64 chunks at most
 
 
 @query()
 def html_sections(spark, d):
-    return C.html_sections(pages(spark, d), "pageid", "html")
+    return G.html_sections(pages(spark, d), "page", "html")
+
+
+@query()
+def page_chunks(spark, d):
+    return G.page_chunks(pages(spark, d), "page", "html")
 
 
 @query("select distinct pageid, chunk_no::varchar link from plot_chunk where pageid is not null")
 def html_links(spark, d):
-    return pages(spark, d).select("pageid", F.explode(C.links(F.col("html"))).alias("link"))
+    return pages(spark, d).select("pageid", F.explode(C.links(F.col("html"))).alias("link")).distinct()
 
 
 @query("select chunk_id, len(regexp_extract_all(text, '[一-鿿]')) cjk, length(text) // 40 + 1 cells, len(regexp_extract_all(text, '[一-鿿]')) >= 40 and length(text) // 40 + 1 <= 40 and len(regexp_extract_all(text, '[一-鿿]')) / (length(text) // 40 + 1) >= 60 as keep from (select distinct chunk_id, text from plot_chunk)")

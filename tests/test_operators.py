@@ -12,6 +12,7 @@ from tanzaku.functions import text as T
 from tanzaku.operators import chunking as C
 from tanzaku.operators import features as X
 from tanzaku.operators import merging as M
+from tanzaku.operators import pages as G
 from tanzaku.operators import metrics as E
 from tanzaku.operators import recommend as R
 from tanzaku.operators import retrieval as V
@@ -164,12 +165,11 @@ def test_chunks(spark):
         assert all(len(x) <= C.MOST + C.LEAST for x in c)
     df = spark.createDataFrame([(1, texts[0]), (2, None), (3, "")], "k int, t string")
     assert {r.k for r in C.chunk_texts(df, "k", "t").collect()} == {1}
-    assert C.song_labels(["第1期", "片头曲", "歌A", "片尾曲", "歌B", "第2期", "歌C"]) == ["第1期 片头曲 歌A", "第1期 片尾曲 歌B", "第2期 歌C"]
 
 
 def test_html(spark):
     html = "<h2>剧情</h2><p>第一段文字，足够长的一段文字。<span class='heimu'>剧透</span></p><script>x()</script><h3>第一章</h3><ul><li>列表里的一项，足够长的内容在这里。</li></ul><h2>歌曲</h2><p>短</p>"
-    got = C.html_sections(spark.createDataFrame([(1, html), (2, None)], "k int, h string"), "k", "h").collect()
+    got = G.html_sections(spark.createDataFrame([(1, html), (2, None)], "k int, h string"), "k", "h").collect()
     assert [(r.section, r.hidden) for r in got] == [("剧情", 2), ("剧情/第一章", 0)]
 
 
