@@ -6,13 +6,15 @@ bounded by quotas before they meet.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tanzaku.functions import text as T
 from tanzaku.functions import vectors as V
+from tanzaku.operators.filters import bloom, codes_of, passing, window_hashes
 
 #: Fixed values.
 QUOTAS = {"char": 40, "series": 10, "songs": 3}
@@ -23,13 +25,34 @@ SONGS_QUERY = r"(?i)片头|片尾|主题曲|插曲|(?<![A-Za-z])(?:OP|ED)(?![A-Z
 
 
 def candidate_mentions(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """(qid, key, name): names of the dictionary that occur in a question's key, by an equi-join on its substrings.
+    """(qid, name, start, free): where names of the dictionary occur in a question's key.
 
-    ``questions``: qid, key; ``names``: name (keys of 2 to 16 characters). Nulls match nothing.
+    ``questions``: qid, key; ``names``: name (keys of 2 to 16 characters). ``start`` counts from 1; ``free`` tells whether
+    a name of ASCII letters and digits stands at word borders. Nulls match nothing. Of the parts of a question only
+    those that a filter of the dictionary lets pass are shuffled; the join on the names themselves decides.
     """
-    subs = questions.select("qid", "key", F.explode(T.substrings(F.col("key"), MENTION_MIN, MENTION_MAX)).alias("name"))
-    # the planner takes exploded substrings for as small as their questions: the dictionary is hashed, never they
-    return subs.join(names.select("name").distinct().hint("shuffle_hash"), "name").select("qid", "key", "name")
+    distinct = names.select("name").where(F.length("name").between(MENTION_MIN, MENTION_MAX)).distinct()
+    shared = questions.sparkSession.sparkContext.broadcast(bloom(distinct, "name"))
+    kind = questions.schema["qid"].dataType.simpleString()
+    word = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, bits = shared.value
+        for b in batches:
+            row, name, start, free = [], [], [], []
+            for i, key in enumerate(b.column(1).to_pylist()):
+                codes = codes_of(key)
+                for size in range(MENTION_MIN, min(MENTION_MAX, len(codes)) + 1):
+                    for at in passing(window_hashes(codes, size), words, bits).tolist():
+                        part = key[at : at + size]
+                        row.append(i)
+                        name.append(part)
+                        start.append(at + 1)
+                        free.append(not word.issuperset(part) or not (at and key[at - 1] in word or key[at + size : at + size + 1] in word))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(name, pa.string()), pa.array(start, pa.int32()), pa.array(free, pa.bool_())], names=["qid", "name", "start", "free"])
+
+    parts = questions.select("qid", "key").where("qid is not null and key is not null").mapInArrow(run, f"qid {kind}, name string, start int, free boolean")
+    return parts.join(distinct, "name").select("qid", "name", "start", "free")
 
 
 def longest_spans(spans: Column) -> Column:
@@ -42,8 +65,7 @@ def longest_spans(spans: Column) -> Column:
 
 def mentions(questions: DataFrame, names: DataFrame) -> DataFrame:
     """(qid, name, start): longest mentions that do not overlap; ASCII names only at word borders. ``start`` counts from 1."""
-    hits = candidate_mentions(questions, names).select("qid", "key", "name", F.explode(T.occurrences(F.col("key"), F.col("name"))).alias("start"))
-    hits = hits.where(T.whole_word(F.col("key"), F.col("name"), F.col("start")))
+    hits = candidate_mentions(questions, names).where("free")
     spans = hits.groupBy("qid").agg(F.collect_list(F.struct("start", F.length("name").alias("len"), "name")).alias("spans"))  # bounded by the question's length
     return spans.select("qid", F.explode(longest_spans(F.col("spans"))).alias("s")).select("qid", F.col("s.name").alias("name"), F.col("s.start").alias("start"))
 

@@ -14,11 +14,15 @@ RELATIVE_YEARS = {"今年": 0, "本年": 0, "去年": -1, "前年": -2, "明年"
 RELATIVE_QUARTERS = {"下下季": 2, "下一季": 1, "下个季度": 1, "下一个季度": 1, "下季": 1, "上一季": -1, "上个季度": -1, "上一个季度": -1, "上季": -1}
 THIS_QUARTER = ("这个季度", "本季", "当季", "这一季")
 PERSON_TRIGGERS = ("配过", "配了", "演过", "出演", "配音作品", "参演", "代表作", "有哪些角色", "哪些角色", "什么角色")
+PERSON_ALONE = ("配过", "配了", "配音作品")  # of those, the ones that need no word on voices beside them
+VOICE_WORDS = ("声优", "配音", "cv", "seiyu")
 CHARACTER_TRIGGERS = ("谁配", "声优是", "声优谁", "cv是", "cv谁", "谁的声优", "配音是", "哪位声优", "什么声优")
 ROLE_TRIGGERS = {"原作": ("原作", "作者", "漫画家", "画过", "写过", "原著"), "导演": ("导演", "监督", "执导"), "脚本": ("脚本", "编剧", "剧本"), "音乐": ("音乐", "配乐", "作曲", "劇伴"), "人物设定": ("人设", "人物设定", "角色设计", "作画监督")}
 STUDIO_TRIGGERS = ("制作公司", "制作方", "动画公司", "工作室", "哪家公司", "哪个公司")
 GENERIC_TRIGGERS = ("其他作品", "还做过", "还画过", "还有什么作品", "别的作品", "同一个人")
 DIGITS = "零一二三四五六七八九"
+YEAR_MONTH, YEAR_SEASON, YEAR = r"(\d{4})\s*年\s*(\d{1,2})\s*月", r"(\d{4})\s*年\s*(?:的\s*)?([春夏秋冬])", r"(\d{4})\s*年"
+YEARS_AGO = "([0-9零一二两三四五六七八九十百]+)\\s*年前"
 
 
 def any_of(q: Column, words: tuple[str, ...]) -> Column:
@@ -48,14 +52,14 @@ def parse_quarter(q: Column, today: Column) -> Column:
     """
     this = F.quarter(today) * 3 - 2
     rx = lambda p, i: F.regexp_extract(q, p, i).try_cast("int")
-    month = rx(r"(\d{4})\s*年\s*(\d{1,2})\s*月", 2)
-    by_month = F.when(month.between(1, 12), rx(r"(\d{4})\s*年\s*(\d{1,2})\s*月", 1) * 100 + F.floor((month - 1) / 3).cast("int") * 3 + 1)
-    word = F.regexp_extract(q, r"(\d{4})\s*年\s*(?:的\s*)?([春夏秋冬])", 2)
-    by_season = F.when(word != "", rx(r"(\d{4})\s*年\s*(?:的\s*)?([春夏秋冬])", 1) * 100 + F.coalesce(*[F.when(word == w, m) for w, m in SEASON_MONTHS.items()]))
-    ago = chinese_int(F.regexp_extract(q, "([0-9零一二两三四五六七八九十百]+)\\s*年前", 1))
+    month = rx(YEAR_MONTH, 2)
+    by_month = F.when(month.between(1, 12), rx(YEAR_MONTH, 1) * 100 + F.floor((month - 1) / 3).cast("int") * 3 + 1)
+    word = F.regexp_extract(q, YEAR_SEASON, 2)
+    by_season = F.when(word != "", rx(YEAR_SEASON, 1) * 100 + F.coalesce(*[F.when(word == w, m) for w, m in SEASON_MONTHS.items()]))
+    ago = chinese_int(F.regexp_extract(q, YEARS_AGO, 1))
     year = F.coalesce(F.year(today) - ago, _first(q, RELATIVE_YEARS, lambda n: F.year(today) + n))
     by_year = year * 100 + F.coalesce(_first(q, SEASON_MONTHS, F.lit), this)
-    bare = rx(r"(\d{4})\s*年", 1) * 100 + this
+    bare = rx(YEAR, 1) * 100 + this
 
     def shifted(n: int) -> Column:
         at = F.add_months(F.trunc(today, "quarter"), 3 * n)
@@ -66,9 +70,13 @@ def parse_quarter(q: Column, today: Column) -> Column:
 
 
 def voice_intent(q: Column) -> Column:
-    """character goes before person; null for neither."""
+    """character goes before person; null for neither.
+
+    Most words on a person's roles are as common about works, and count only beside a word on voices.
+    """
     low = F.lower(q)
-    return F.when(any_of(low, CHARACTER_TRIGGERS), "character").when(any_of(low, PERSON_TRIGGERS), "person")
+    person = any_of(low, PERSON_ALONE) | (any_of(low, PERSON_TRIGGERS) & any_of(low, VOICE_WORDS))
+    return F.when(any_of(low, CHARACTER_TRIGGERS), "character").when(person, "person")
 
 
 def relation_intent(q: Column) -> tuple[Column, Column]:

@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 
 from tanzaku.functions import text as T
 from tanzaku.operators import merging as M
+from tanzaku.plans.keys import name_key_sql
 from tanzaku.plans.registry import query
 from tanzaku.plans.selecting import PROFILE, works
 from tanzaku.tables import load
 
-KEY = r"regexp_replace(lower({}), '[\p{{P}}\p{{S}}\p{{Z}}\p{{C}}]', '', 'g')"
 
-
-@query(f"with a as (select entity_type, coalesce(subject_id, -1) s, coalesce(character_id, -1) c, {KEY.format('name')} k, case source when 'name' then 1 when 'name_cn' then 2 when 'infobox_alias' then 3 else 4 end pr, id from alias where name is not null) select distinct on (entity_type, s, c, k) entity_type, s, c, k, id from a order by entity_type, s, c, k, pr, id")
+@query(f"with a as (select entity_type, coalesce(subject_id, -1) s, coalesce(character_id, -1) c, {name_key_sql('name')} k, case source when 'name' then 1 when 'name_cn' then 2 when 'infobox_alias' then 3 else 4 end pr, id from alias where name is not null) select distinct on (entity_type, s, c, k) entity_type, s, c, k, id from a order by entity_type, s, c, k, pr, id")
 def alias_dedupe(spark, d):
     a = load(spark, d, "alias", ["id", "name", "entity_type", "subject_id", "character_id", "source"]).where("name is not null")
     pr = F.when(F.col("source") == "name", 1).when(F.col("source") == "name_cn", 2).when(F.col("source") == "infobox_alias", 3).otherwise(4)
-    k = a.select("entity_type", F.coalesce("subject_id", F.lit(-1)).alias("s"), F.coalesce("character_id", F.lit(-1)).alias("c"), T.stripped_key(F.col("name")).alias("k"), pr.alias("pr"), "id")
+    k = a.select("entity_type", F.coalesce("subject_id", F.lit(-1)).alias("s"), F.coalesce("character_id", F.lit(-1)).alias("c"), T.name_key("name").alias("k"), pr.alias("pr"), "id")
     return k.groupBy("entity_type", "s", "c", "k").agg(F.min_by("id", F.struct("pr", "id")).alias("id"))
 
 

@@ -9,28 +9,27 @@ from pyspark.sql import functions as F
 
 from tanzaku.functions import text as T
 from tanzaku.operators import retrieval as R
+from tanzaku.plans.keys import name_key_sql
 from tanzaku.plans.registry import query
 from tanzaku.plans.selecting import PROFILE, works
 from tanzaku.tables import load
 
-KEY = r"regexp_replace(lower({}), '[\p{{P}}\p{{S}}\p{{Z}}\p{{C}}]', '', 'g')"
-
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
     q = load(spark, d, "moegirl_page", ["pageid", "lead_text"]).where("lead_text is not null").groupBy(F.col("pageid").alias("qid")).agg(F.min("lead_text").alias("question"))
-    return q.select("qid", "question", T.stripped_key(F.col("question")).alias("key"))
+    return q.select("qid", "question", T.name_key("question").alias("key"))
 
 
 def names(spark: SparkSession, d: str) -> DataFrame:
     """name (key), entity_type, root"""
     a = load(spark, d, "alias", ["name", "entity_type", "subject_id", "parent_subject_id"])
     w = works(spark, d, ["series_root"]).select("subject_id", F.coalesce("series_root", "subject_id").alias("root"))
-    k = a.select(T.stripped_key(F.col("name")).alias("name"), "entity_type", F.coalesce("parent_subject_id", "subject_id").alias("subject_id"))
+    k = a.select(T.name_key("name").alias("name"), "entity_type", F.coalesce("parent_subject_id", "subject_id").alias("subject_id"))
     return k.join(w, "subject_id").select("name", "entity_type", "root").distinct()
 
 
-NAMES = f"""p as ({PROFILE}), names as (select distinct {KEY.format('a.name')} as name, a.entity_type, coalesce(p.series_root, p.subject_id) root from alias a join p on p.subject_id = coalesce(a.parent_subject_id, a.subject_id)),
-q as (select pageid qid, min(lead_text) question, {KEY.format('min(lead_text)')} as key from moegirl_page where lead_text is not null group by 1),
+NAMES = f"""p as ({PROFILE}), names as (select distinct {name_key_sql('a.name')} as name, a.entity_type, coalesce(p.series_root, p.subject_id) root from alias a join p on p.subject_id = coalesce(a.parent_subject_id, a.subject_id)),
+q as (select pageid qid, min(lead_text) question, {name_key_sql('min(lead_text)')} as key from moegirl_page where lead_text is not null group by 1),
 subs as (select distinct qid, substr(key, i, n) as name from (select qid, key, unnest(range(1, length(key) + 1)) i from q), range(2, 17) t(n) where i + n - 1 <= length(key))"""
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tanzaku.functions import text as T
 from tanzaku.functions import vectors as V
 from tanzaku.operators import searching as S
+from tanzaku.plans.keys import name_key_sql
 from tanzaku.plans.registry import query
 from tanzaku.plans.selecting import PROFILE, works
 from tanzaku.tables import load
@@ -77,7 +78,7 @@ def norm_name_key(spark, d):
     return load(spark, d, "alias", ["id", "name"]).distinct().select("id", T.stripped_key(F.col("name")).alias("key"))
 
 
-@query()
+@query(f"select id, {name_key_sql('name')} as key from (select distinct id, name from alias)")
 def norm_name_full(spark, d):
     return load(spark, d, "alias", ["id", "name"]).distinct().select("id", T.name_key("name").alias("key"))
 

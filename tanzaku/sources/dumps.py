@@ -21,7 +21,8 @@ SCHEMAS = {
 }
 FORMS = ("TV", "WEB", "剧场版", "OVA")  # in order of priority
 DONE_LEAST, KIND = 50, 2
-DATE_FIELDS = "放送开始|上映年度|发售日|发行日期|播放开始|开始"
+#: Fields of an infobox that hold a date, longer names before their beginnings.
+DATE_FIELDS = "放送开始日|放送开始|上映年度|上映日期|发行日期|首播|公开日|发售日"
 
 
 def read_dump(spark: SparkSession, path: str, name: str) -> DataFrame:
