@@ -190,3 +190,11 @@ def songs_seat(questions: DataFrame, recalled: DataFrame) -> DataFrame:
     """(qid, chunk_id): the first song chunk of the recall, for questions about songs."""
     ask = questions.where(F.col("question").rlike(SONGS_QUERY)).select("qid")
     return recalled.where("layer = 'songs'").join(ask, "qid").groupBy("qid").agg(F.min_by("chunk_id", F.struct("rn", "chunk_id")).alias("chunk_id"))
+
+
+def compared(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(both_sets, first_only, is_subset) of the distinct keys of two selections, in one row."""
+    sides = a.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(key, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    inside = sides.groupBy(key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    only = F.count_if((F.col("a") == 1) & (F.col("b") == 0))
+    return inside.agg(F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("both_sets"), only.alias("first_only"), (only == 0).alias("is_subset"))

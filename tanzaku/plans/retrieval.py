@@ -12,6 +12,7 @@ from tanzaku.operators import retrieval as R
 from tanzaku.plans.keys import name_key_sql
 from tanzaku.plans.registry import query
 from tanzaku.plans.selecting import PROFILE, works
+from tanzaku.plans.texts import ASKED, asked
 from tanzaku.tables import load
 
 
@@ -135,15 +136,18 @@ def context_select_sweep(spark, d):
     return got.groupBy("floor", "reserve", "final").agg(F.count("*").alias("n"), F.count_if("pinned").alias("n_pinned"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
-@query(f"with {POOL}, x as (select chunk_id from pool where pinned), y as (select chunk_id from pool where score >= 0.05) select (select count(*) from (select chunk_id from x intersect select chunk_id from y)) both_sets, (select count(*) from (select chunk_id from x except select chunk_id from y)) pinned_only, (select count(*) from (select chunk_id from x except select chunk_id from pool)) = 0 is_subset")
+@query(f"""with {POOL}, {_choose_sql('label', 'pool')}, wide as (select chunk_id from chosen), x as (select chunk_id from pool where pinned), y as (select chunk_id from pool where score >= 0.05)
+select 'pinned and above' as sets, (select count(*) from (select chunk_id from x intersect select chunk_id from y)) both_sets, (select count(*) from (select chunk_id from x except select chunk_id from y)) first_only, (select count(*) from (select chunk_id from x except select chunk_id from y)) = 0 is_subset
+union all select 'chosen and above', (select count(*) from (select chunk_id from wide intersect select chunk_id from y)), (select count(*) from (select chunk_id from wide except select chunk_id from y)), (select count(*) from (select chunk_id from wide except select chunk_id from y)) = 0
+union all select 'chosen and pool', (select count(*) from (select chunk_id from wide intersect select chunk_id from pool)), (select count(*) from (select chunk_id from wide except select chunk_id from pool)), (select count(*) from (select chunk_id from wide except select chunk_id from pool)) = 0""")
 def selection_set_checks(spark, d):
     p = _pool(spark, d)
-    inside = p.groupBy("chunk_id").agg(F.max("pinned").alias("x"), F.max(F.col("score") >= 0.05).alias("y"))
-    return inside.agg(F.count_if(F.expr("x and y")).alias("both_sets"), F.count_if(F.expr("x and not y")).alias("pinned_only"), (F.count_if(F.expr("x and chunk_id is null")) == 0).alias("is_subset"))
+    chosen, above = R.choose(p, ["label"]).select("chunk_id"), p.where("score >= 0.05").select("chunk_id")
+    pairs = {"pinned and above": (p.where("pinned").select("chunk_id"), above), "chosen and above": (chosen, above), "chosen and pool": (chosen, p.select("chunk_id"))}
+    return reduce(DataFrame.unionByName, [R.compared(a, b, "chunk_id").select(F.lit(name).alias("sets"), "both_sets", "first_only", "is_subset") for name, (a, b) in pairs.items()])
 
 
-@query("select item_id as qid, regexp_matches(question, '片头|片尾|主题曲|插曲|(^|[^A-Za-z])(OP|ED|op|ed|Op|Ed|oP|eD)([^A-Za-z]|$)') songs, contains(question, '导演') or contains(question, '监督') director, contains(question, '最后') ending from eval_item")
+@query(f"with {ASKED} select item_id as qid, regexp_matches(question, '片头|片尾|主题曲|插曲|(^|[^A-Za-z])(OP|ED|op|ed|Op|Ed|oP|eD)([^A-Za-z]|$)') songs, contains(question, '导演') or contains(question, '监督') director, contains(question, '最后') ending from asked")
 def keyword_triggers(spark, d):
-    q = load(spark, d, "eval_item", ["item_id", "question"])
     any_of = lambda words: reduce(lambda a, b: a | b, [F.col("question").contains(w) for w in words])
-    return q.select(F.col("item_id").alias("qid"), F.col("question").rlike(R.SONGS_QUERY).alias("songs"), any_of(("导演", "监督")).alias("director"), any_of(("最后",)).alias("ending"))
+    return asked(spark, d).select(F.col("item_id").alias("qid"), F.col("question").rlike(R.SONGS_QUERY).alias("songs"), any_of(("导演", "监督")).alias("director"), any_of(("最后",)).alias("ending"))

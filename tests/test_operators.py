@@ -142,7 +142,9 @@ def test_songs_and_intents(spark):
     df = spark.createDataFrame([(x,) for x, _, _ in qs], "q string")
     roles, studio = Q.relation_intent(F.col("q"))
     assert [(r[0], r[1]) for r in df.select(roles, studio).collect()] == [(b, c) for _, b, c in qs]
-    voice = [("配过哪些角色", "person"), ("是谁配的", "character"), ("CV是谁", "character"), ("配了什么角色 是谁配的", "character"), ("结局", None)]
+    voice = [("花泽香菜配过哪些角色？", "person"), ("钉宫理惠配了什么角色", "person"), ("樱井孝宏的配音作品有哪些", "person"), ("银魂里神乐是谁配的", "character"), ("这个角色的声优是谁", "character"), ("路飞的cv是谁", "character")]
+    voice += [("推荐几部科幻番", None), ("《进击的巨人》的结局是什么", None), ("十年前的这个季度在播什么", None), ("银魂里神乐是谁配的角色", "character"), ("《进击的巨人》里有哪些角色", None), ("宫崎骏的代表作是什么", None), ("声优的代表作", "person")]
+    voice += [("配过哪些角色", "person"), ("是谁配的", "character"), ("CV是谁", "character"), ("配了什么角色 是谁配的", "character"), ("结局", None)]
     df = spark.createDataFrame([(x,) for x, _ in voice], "q string")
     assert [r[0] for r in df.select(Q.voice_intent(F.col("q"))).collect()] == [v for _, v in voice]
     nums = [("十", 10), ("十二", 12), ("二十", 20), ("二十三", 23), ("两", 2), ("7", 7), ("百", None), ("", None)]
@@ -227,3 +229,17 @@ def test_stored_tables_are_cleared(spark):
     checkpoints.clear(spark)
     assert not folder.exists()
     assert checkpoints.stored(spark.range(3), "more").count() == 3
+
+
+def test_routes(spark):
+    want = {"花泽香菜配过哪些角色": "voice", "2016年7月番有哪些": "season", "十年前的这个季度在播什么": "season", "《进击的巨人》的结局是什么": "ask", "2016年的作画怎么样": "ask", "给我推荐点像命运石之门的": "ask", "花泽香菜今年有哪些新番": "season"}
+    df = spark.createDataFrame([(x,) for x in want], "q string")
+    assert {r.q: r.r for r in df.select("q", Q.route(F.col("q"), F.lit(datetime.date(2026, 8, 21))).alias("r")).collect()} == want
+
+
+def test_years_of_date_fields(spark):
+    from tanzaku.sources import dumps as D
+
+    rows = [("2001-02-03", None, 2001), ("", "{{Infobox\n|放送开始日= 1999年4月\n}}", 1999), (None, "|上映日期= 昭和，1986", 1986), (None, "|首播=2003", 2003), (None, "|公开日= 1975-01-01", 1975), (None, "|发售日=1990", 1990), (None, "|播放开始=1991", None), (None, "|结束=1992", None)]
+    df = spark.createDataFrame([r[:2] for r in rows], "d string, i string")
+    assert [r[0] for r in df.select(D.year_of(F.col("d"), F.col("i"))).collect()] == [r[2] for r in rows]
