@@ -69,16 +69,21 @@ def merged_maps(old: Column, new: Column) -> Column:
 
 
 def fingerprint(df: DataFrame, c: str) -> DataFrame:
-    """(n, digest): a digest of the distinct values of a column, from digests of 256 buckets, so that no task sees them all."""
-    per = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct()
-    rows = per.groupBy(F.substring(F.sha2("v", 256), 1, 2).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("v", 256))), ""), 256).alias("d"))
-    return rows.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+    """(n, digest): a digest of the distinct values of a column, from sums over four parts of their digests.
+
+    Sums do not depend on an order and are combined before the shuffle, so that no task holds more than its values.
+    """
+    per = df.where(F.col(c).isNotNull()).select(F.sha2(F.col(c).cast("string"), 256).alias("d")).distinct()
+    part = lambda i: F.sum(F.conv(F.substring("d", 15 * i + 1, 15), 16, 10).cast("decimal(20,0)")).alias(f"s{i}")
+    sums = per.agg(F.count("*").alias("n"), *map(part, range(4)))
+    return sums.select("n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[F.coalesce(F.col(f"s{i}"), F.lit(0)).cast("decimal(38,0)").cast("string") for i in range(4)]), 256).alias("digest"))
 
 
 def pack_batches(df: DataFrame, lane: str, order: str, size: str, most_size: int = 600, most_items: int = 20) -> DataFrame:
     """(lane, order, batch): greedy batches of consecutive items of each lane within a size and a count.
 
-    An item above the size has a batch of its own. The scan is a fold over the items of a lane in order.
+    An item above the size has a batch of its own; a null size counts as 0. The scan is a fold over the items of
+    a lane in order, so lanes must be bounded: cut long sequences into blocks of consecutive items.
     """
     import pandas as pd
 
@@ -87,7 +92,7 @@ def pack_batches(df: DataFrame, lane: str, order: str, size: str, most_size: int
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         batch, used, items, out = 0, 0, 0, []
-        for n in pdf[size]:
+        for n in pdf[size].fillna(0):
             if items and (used + n > most_size or items >= most_items):
                 batch, used, items = batch + 1, 0, 0
             used, items = used + n, items + 1

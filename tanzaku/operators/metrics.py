@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tanzaku.checkpoints import stored
+
 
 def precision_ndcg(ranked: DataFrame, query: str, rank: str, relevant: str, k: int = 10) -> DataFrame:
     """(query, precision, ndcg) at ``k``; ``ranked`` has a row per query and candidate, rank from 1, relevance 0 or 1.
@@ -38,10 +40,13 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, salt: str = "") ->
 def quantile_by_index(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """(share, value): the element at position floor(n * share) of the sorted values, not interpolated.
 
-    From counts of distinct values, so the values themselves are never sorted in one task.
+    From counts of distinct values in ranges: only the ranges' totals are added up in one place.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy(value)))
-    total = counts.agg(F.sum("c").alias("n"))
+    ranged = stored(counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id()), "quantiles")
+    sums = ranged.groupBy("_p").agg(F.sum("c").alias("s"))
+    before = sums.select("_p", (F.sum("s").over(Window.orderBy("_p")) - F.col("s")).alias("before"))  # a row per range
+    upto = ranged.join(F.broadcast(before), "_p").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("_p").orderBy(value)))
+    total = sums.agg(F.sum("s").alias("n"))
     wanted = df.sparkSession.createDataFrame([(s,) for s in shares], "share double").crossJoin(F.broadcast(total)).withColumn("at", F.least(F.floor(F.col("n") * F.col("share")), F.col("n") - 1))
     return upto.join(F.broadcast(wanted), (F.col("upto") > F.col("at")) & (F.col("upto") - F.col("c") <= F.col("at"))).select("share", value)

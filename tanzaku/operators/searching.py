@@ -9,11 +9,12 @@ from tanzaku.functions import text as T
 
 TRIGRAM_FLOOR, LIMIT = 0.3, 50
 WEIGHTS = {"A": 1.0, "B": 0.4}
+RUNS = (r"\x{30A1}-\x{30FA}\x{30FC}-\x{30FF}", r"\x{3041}-\x{309F}", r"\x{AC00}-\x{D7AF}")  # katakana without the middle dot, hiragana, Hangul
 
 
 def terms(c: Column) -> Column:
-    """Lower-case terms of a text: runs of letters and digits of an alphabet, single characters of CJK scripts."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]|[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]]+)"), F.lit(1))
+    """Lower-case terms of a text: runs of katakana, of hiragana, of Hangul and of letters and digits of alphabets, single ideographs."""
+    return F.regexp_extract_all(F.lower(c), F.lit(rf"(\p{{IsHan}}|{'|'.join(f'[{x}]+' for x in RUNS)}|[\p{{L}}\p{{N}}&&[^\p{{IsHan}}{''.join(RUNS)}]]+)"), F.lit(1))
 
 
 def inverted(docs: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:

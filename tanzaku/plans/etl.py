@@ -83,7 +83,7 @@ def coverage_profile(spark, d):
     return x.agg(F.count("*").alias("n"), F.count("text").alias("with_text"), F.count("subject_id").alias("with_subject"), F.count_if(F.col("lang") == "zh").alias("zh"), F.count_distinct("source").alias("sources"), F.round(F.avg(n), 6).alias("mean_len"), F.median(n).alias("median_len"))
 
 
-@query("with v as (select distinct name v from alias where name is not null), b as (select substr(sha256(v), 1, 2) b, count(*) n, sha256(string_agg(sha256(v), '' order by sha256(v))) d from v group by 1) select sum(n)::bigint n, sha256(string_agg(d, '' order by b)) digest from b")
+@query("with v as (select distinct sha256(name) d from alias where name is not null), s as (select count(*) n, " + ", ".join(f"coalesce(sum(('0x' || substr(d, {15 * i + 1}, 15))::bigint), 0)::varchar s{i}" for i in range(4)) + " from v) select n, sha256(concat_ws('|', n::varchar, s0, s1, s2, s3)) digest from s")
 def provenance_fingerprint(spark, d):
     return M.fingerprint(load(spark, d, "alias", ["name"]), "name")
 
@@ -147,9 +147,13 @@ def worklist_distinct(spark, d):
     return t.agg(F.count_distinct(F.trim("src")).alias("n"), F.count_distinct("src_sha").alias("keys"))
 
 
-@query()
+BATCHES = "x as (select doc_id // 1000 lane, doc_id, coalesce(length(text), 0) n, row_number() over (partition by doc_id // 1000 order by doc_id) i from documents), r as (select lane, doc_id, i, n used, 1 items, 0 batch from x where i = 1 union all select x.lane, x.doc_id, x.i, case when used + n > 600 or items >= 20 then n else used + n end, case when used + n > 600 or items >= 20 then 1 else items + 1 end, batch + case when used + n > 600 or items >= 20 then 1 else 0 end from r join x on x.lane = r.lane and x.i = r.i + 1)"
+
+
+@query(f"with recursive {BATCHES} select lane, doc_id, batch from r")
 def batch_packing(spark, d):
-    x = load(spark, d, "documents", ["doc_id", "text", "source"]).select((F.col("doc_id") % 16).alias("lane"), "doc_id", F.length("text").alias("n"))
+    """Lanes are blocks of a thousand consecutive numbers."""
+    x = load(spark, d, "documents", ["doc_id", "text"]).select(F.floor(F.col("doc_id") / 1000).alias("lane"), "doc_id", F.length("text").alias("n"))
     return M.pack_batches(x, "lane", "doc_id", "n")
 
 

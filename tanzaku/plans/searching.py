@@ -13,28 +13,32 @@ from tanzaku.plans.registry import query
 from tanzaku.plans.selecting import PROFILE, works
 from tanzaku.tables import load
 
-TERMS = r"regexp_extract_all(lower({}), '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Hangul}}]|[a-z0-9]+')"
+SPLIT = "|".join(["\\p{Han}", *(f"[{x}]+" for x in S.RUNS)])
+TERMS = f"regexp_extract_all(regexp_replace(lower({{}}), '({SPLIT.replace('{', '{{').replace('}', '}}')})', ' \\1 ', 'g'), '[\\p{{{{L}}}}\\p{{{{N}}}}{''.join(S.RUNS).replace('{', '{{').replace('}', '}}')}]+')"
 TRI = "list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents", ["doc_id", "text", "source", "lang"]).where("lang = 'en'")
-    ascii_only = docs.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7f]", " "))
-    return S.inverted(ascii_only, "doc_id", {"source": "A", "text": "B"})
+    return S.inverted(load(spark, d, "documents", ["doc_id", "text", "source"]), "doc_id", {"source": "A", "text": "B"})
 
 
-EN = "docs as (select doc_id, source, regexp_replace(text, '[^\\x00-\\x7f]', ' ', 'g') as text from documents where lang = 'en'), post as (select doc_id, 'A' cls, unnest(regexp_extract_all(lower(source), '[a-z0-9]+')) term from docs union all select doc_id, 'B', unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) from docs), idx as (select term, doc_id, count(*) filter (cls = 'A') a, count(*) filter (cls = 'B') b from post group by 1, 2)"
+INDEX = f"post as (select doc_id, 'A' cls, unnest({TERMS.format('source')}) term from documents union all select doc_id, 'B', unnest({TERMS.format('text')}) from documents), idx as (select term, doc_id, count(*) filter (cls = 'A') a, count(*) filter (cls = 'B') b from post group by 1, 2)"
 
 
 def _match(words: list[str]) -> str:
     return f"hits as (select doc_id, count(*) n, sum(case when a > 0 then 1 + ln(a) else 0 end + case when b > 0 then 0.4::double * (1 + ln(b)) else 0 end) score from idx where term in ({', '.join(repr(w) for w in words)}) group by 1 having n = {len(words)})"
 
 
-@query(f"with {EN}, {_match(['compass', 'talking', 'valley'])} select doc_id, round(score, 6) score from hits")
+@query(f"with {INDEX}, {_match(['compass', 'talking', 'valley'])} select doc_id, round(score, 6) score from hits")
 def fulltext_and_match(spark, d):
     return S.match_all(_index(spark, d), "doc_id", ["compass", "talking", "valley"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(f"with {INDEX}, {_match(['钟', '声', '响', '起'])} select doc_id, round(score, 6) score from hits")
+def fulltext_ideographs(spark, d):
+    return S.match_all(_index(spark, d), "doc_id", ["钟", "声", "响", "起"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query(f"with p as ({PROFILE}), n as (select subject_id, name_en from p where name_en is not null), s as (select subject_id, {TRI.format('name_en')} t, {TRI.format(chr(39) + 'Nightmoor Ballad' + chr(39))} q from n), r as (select subject_id, len(list_intersect(t, q)) / greatest(len(t) + len(q) - len(list_intersect(t, q)), 1) sim from s) select subject_id, round(sim, 6) sim from r where sim > 0.3")
 def trigram_similarity(spark, d):
     n = works(spark, d, ["name_en"]).where("name_en is not null")
@@ -42,7 +46,7 @@ def trigram_similarity(spark, d):
 
 
 def _two_stage_sql(words: list[str], text: str) -> str:
-    return f"""with {EN}, {_match(words)}, names as (select distinct subject_id doc_id, name_en from anime_profile where name_en is not null), s as (select doc_id, {TRI.format('name_en')} t, {TRI.format(chr(39) + text + chr(39))} q from names),
+    return f"""with {INDEX}, {_match(words)}, names as (select distinct subject_id doc_id, name_en from anime_profile where name_en is not null), s as (select doc_id, {TRI.format('name_en')} t, {TRI.format(chr(39) + text + chr(39))} q from names),
 second as (select doc_id, max(len(list_intersect(t, q)) / greatest(len(t) + len(q) - len(list_intersect(t, q)), 1)) score from s group by 1 having score > 0.3),
 u as (select doc_id, round(score, 9) score, 1 stage from hits union all select doc_id, round(score, 9), 2 from second where not exists (select 1 from hits))
 select doc_id, round(score, 6) score, stage from (select * from u order by stage, score desc, doc_id limit 20)"""
@@ -83,7 +87,7 @@ def norm_name_full(spark, d):
     return load(spark, d, "alias", ["id", "name"]).distinct().select("id", T.name_key("name").alias("key"))
 
 
-@query()
+@query(f"select subject_id, array_to_string({TERMS.format('name')}, ' ') tokens from (select distinct subject_id, name from anime_profile)")
 def script_runs(spark, d):
     p = load(spark, d, "anime_profile", ["subject_id", "name"]).distinct()
     return p.select("subject_id", F.array_join(S.terms(F.col("name")), " ").alias("tokens"))
