@@ -26,3 +26,8 @@ def quarter_window(d: Column) -> tuple[Column, Column]:
     """First day, included, and end, excluded, of the quarter of ``d``; neighbours share the days of grace."""
     q = quarter_start(d)
     return F.date_sub(q, GRACE_DAYS), shift_quarters(q, 1)
+
+
+def years_close(a: Column, b: Column, most: int = 1) -> Column:
+    """Whether two years differ by ``most`` at most; an unknown year is close to none."""
+    return F.coalesce(F.abs(a - b) <= most, F.lit(False))

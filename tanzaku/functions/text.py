@@ -39,20 +39,30 @@ def is_japanese(c: Column, threshold: float = 0.20) -> Column:
     return class_share(c, KANA) > threshold
 
 
+MARKER = r"[\[【]\s*(?:简介原文|原文|日文简介|日文原文)\s*[\]】]"  # fixed value
+
+
 def without_tail(c: Column, chars: str = KANA, dirty: float = 0.03, block_share: float = 0.08, keep: int = 8, most: float = 0.05, ratio: float = 0.15) -> Column:
-    """``c`` without trailing paragraphs in the script of ``chars``.
+    """``c`` without its end in the script of ``chars``: what follows ``MARKER``, or else trailing paragraphs.
 
-    Only a text with more than ``dirty`` of it is touched; paragraphs of more than ``block_share`` are cut from
+    A text with the marker is cut there or nowhere. Only a text with more than ``dirty`` of it is touched; paragraphs of more than ``block_share`` are cut from
     the end, and the cut holds if ``keep`` characters and ``ratio`` of the text stay and at most ``most`` of what
     stays is in that script.
     """
     blocks = F.split(c, r"\n\s*\n")
     last = F.array_max(F.transform(blocks, lambda b, i: F.when(class_share(b, chars) <= block_share, i).otherwise(F.lit(-1))))
-    kept = F.trim(F.array_join(F.slice(blocks, 1, F.greatest(last + 1, F.lit(0))), "\n\n"))
+    by_blocks = F.trim(F.array_join(F.slice(blocks, 1, F.greatest(last + 1, F.lit(0))), "\n\n"))
+    at = F.regexp_instr(c, F.lit(MARKER))
+    kept = F.when(at > 0, F.regexp_replace(F.left(c, at - 1), r"^\s+|\s+$", "")).otherwise(by_blocks)
     safe = (F.length(kept) >= keep) & (class_share(kept, chars) <= most) & (F.length(kept) >= ratio * F.length(c))
     return F.when((class_share(c, chars) > dirty) & safe, kept).otherwise(c)
 
 
+def blank_to_null(c: Column) -> Column:
+    """Without blanks around it; null if nothing is left."""
+    return F.nullif(F.trim(c), F.lit(""))
+
+
 def substrings(c: Column, shortest: int = 2, longest: int = 16) -> Column:
     """All distinct substrings of ``shortest`` to ``longest`` characters."""
     n = F.length(c)

@@ -68,6 +68,17 @@ def merged_maps(old: Column, new: Column) -> Column:
     return F.map_zip_with(F.coalesce(old, empty), F.coalesce(new, empty), lambda k, o, n: F.coalesce(n, o))
 
 
+def map_total(m: Column) -> Column:
+    """Sum of a map's values; null for a null map."""
+    return F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+
+
+def backfill(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``old`` with ``columns`` cleared and filled from ``new`` (key, columns), which has each key once; rows without a match are null there."""
+    rest = [c for c in old.columns if c not in columns]
+    return old.select(*rest).join(new.select(key, *columns), key, "left").select(*old.columns)
+
+
 def fingerprint(df: DataFrame, c: str) -> DataFrame:
     """(n, digest): a digest of the distinct values of a column, from sums over four parts of their digests.
 

@@ -37,6 +37,30 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, salt: str = "") ->
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def equality(df: DataFrame, a: str, b: str, most: float = 0.95) -> DataFrame:
+    """(n, share, suspicious): how often two columns are equal where both are known; more than ``most`` hints at a copy of one as the other."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return both.agg(F.count("*").alias("n"), F.round(F.avg((F.col(a) == F.col(b)).cast("double")), 6).alias("share")).withColumn("suspicious", F.col("share") > most)
+
+
+def distribution(df: DataFrame, by: list[str], top: int) -> DataFrame:
+    """(by, n, pct, position): the ``top`` most frequent values with their share of all rows in per cent."""
+    g = df.groupBy(*by).agg(F.count("*").alias("n"))
+    first = g.orderBy(F.col("n").desc(), *by).limit(top).crossJoin(F.broadcast(g.agg(F.sum("n").alias("_all"))))  # one row
+    position = F.row_number().over(Window.orderBy(F.col("n").desc(), *by)).cast("long")  # of ``top`` rows
+    return first.select(*by, "n", F.round(100.0 * F.col("n") / F.col("_all"), 4).alias("pct"), position.alias("position"))
+
+
+def sample_with_head(df: DataFrame, key: str, order: list[Column], stratum: Column, quotas: dict[str, int], head: int, salt: str = "") -> DataFrame:
+    """(key, stratum): the first ``head`` rows by ``order`` as stratum ``top``, and of the others so many of each stratum, picked by hash."""
+    top = df.orderBy(*order).limit(head).select(key, F.lit("top").alias("stratum"))
+    rest = df.withColumn("stratum", stratum).join(top.select(key), key, "left_anti")
+    quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
+    w = Window.partitionBy("stratum").orderBy(F.md5(F.concat(F.lit(salt), F.col(key).cast("string"))), key)
+    picked = rest.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(quotas.values())).where(F.col("_r") <= F.try_element_at(quota, F.col("stratum")))
+    return top.unionByName(picked.select(key, "stratum"))
+
+
 def quantile_by_index(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """(share, value): the element at position floor(n * share) of the sorted values, not interpolated.
 

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tanzaku.plans import etl, evaluation, features, lookups, recommending, retrieval, searching, selecting, texts  # noqa: F401
+from tanzaku.plans import etl, evaluation, features, lookups, recommending, retrieval, searching, selecting, texts, titles  # noqa: F401
 from tanzaku.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -71,11 +71,11 @@ def kana_ratio(spark, d):
 SHARE = "len(regexp_extract_all({0}, '[ぁ-んァ-ヶ]')) / greatest(length({0}), 1)"
 
 
-@query(f"""with t as (select subject_id, any_value(summary) s from anime_profile where summary is not null group by 1), b as (select subject_id, s, regexp_split_to_array(s, '\\n\\s*\\n') bl from t),
+@query(f"""with t as (select subject_id, min(summary) s from anime_profile where summary is not null group by 1), b as (select subject_id, s, regexp_split_to_array(s, '\\n\\s*\\n') bl from t),
 k as (select subject_id, s, trim(array_to_string(bl[1:coalesce(list_max(list_transform(range(1, len(bl) + 1), lambda i: case when {SHARE.format('bl[i]')} <= 0.08 then i else 0 end)), 0)], chr(10) || chr(10)), ' ') kept from b)
 select subject_id, md5(case when {SHARE.format('s')} > 0.03 and length(kept) >= 8 and {SHARE.format('kept')} <= 0.05 and length(kept) >= 0.15 * length(s) then kept else s end) digest from k""")
 def strip_tail_blocks(spark, d):
-    t = load(spark, d, "anime_profile", ["subject_id", "summary"]).where("summary is not null").groupBy("subject_id").agg(F.first("summary").alias("s"))
+    t = load(spark, d, "anime_profile", ["subject_id", "summary"]).where("summary is not null").groupBy("subject_id").agg(F.min("summary").alias("s"))
     return t.select("subject_id", F.md5(T.without_tail(F.col("s"))).alias("digest"))
 
 
@@ -139,9 +139,9 @@ def spoiler_attribution(spark, d):
     return c.select("chunk_id", "heimu_chars", C.spoiler_level(F.col("heimu_chars"), F.col("spoiler_box")).alias("lvl"))
 
 
-@query("with t as (select pageid, any_value(title) title from moegirl_page group by 1) select pageid, regexp_replace(regexp_replace(title, '[（(][^（）()]*[）)]\\s*$', ''), '^(TV动画|动画)\\s*', '') base, replace(replace(title, '！', '!'), '：', ':') narrow from t")
+@query("with t as (select pageid, min(title) title from moegirl_page group by 1) select pageid, regexp_replace(regexp_replace(title, '[（(][^（）()]*[）)]\\s*$', ''), '^(TV动画|动画)\\s*', '') base, replace(replace(title, '！', '!'), '：', ':') narrow from t")
 def title_variants(spark, d):
-    t = load(spark, d, "moegirl_page", ["pageid", "title"]).groupBy("pageid").agg(F.first("title").alias("title"))
+    t = load(spark, d, "moegirl_page", ["pageid", "title"]).groupBy("pageid").agg(F.min("title").alias("title"))
     base = F.regexp_replace(F.regexp_replace("title", r"[（(][^（）()]*[）)]\s*$", ""), r"^(TV动画|动画)\s*", "")
     return t.select("pageid", base.alias("base"), F.translate("title", "！：", "!:").alias("narrow"))
 
