@@ -7,6 +7,7 @@ by group with ``max_by``/``min_by`` (combined before the shuffle) and the pool i
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,11 +73,16 @@ class Options:
     rank_by: str = "blend"  #: match, quality, blend
     alpha: float = 0.5
     top_k: int = 10
+    weights: tuple[tuple[str, float], ...] = (("vec", 1.0),)  #: vector columns of the spaces and what each counts for
 
     @property
     def want(self) -> int:
         return self.top_k if self.rank_by == "match" else max(10 * self.top_k, 100)
 
+    @property
+    def spaces(self) -> list[tuple[str, float]]:
+        return [(c, w) for c, w in self.weights if w > 0]
+
 
 def allowed(o: Options) -> Column:
     """Predicate over (score, nsfw, air_year, air_date): ratings below the floor, years, windows; unrated items pass the floor."""
@@ -107,15 +113,21 @@ def recommend(items: DataFrame, ratings: DataFrame, o: Options = Options(), vect
     """(item_id, root, match, quality, rank_score, position) for the one user in ``ratings``.
 
     ``items``: item_id, root, vec, score, votes, nsfw, air_year, air_date. Folded, a group has the match of its
-    best member and the identity and quality of its entry (earliest year, most votes, least id). Items
-    without a vector, and rated ones that exclude, take no part; no ratings give no rows. ``vectors`` (item_id,
-    vec) spares the joins behind the other columns of ``items`` when the preference is computed.
+    best member and the identity and quality of its entry (earliest year, most votes, least id). Matches of
+    several spaces (``Options.weights``) are fused, a space in which the item or the user has no vector counts 0. Items
+    without any vector, and rated ones that exclude, take no part; no ratings give no rows. ``vectors`` (item_id,
+    vectors) spares the joins behind the other columns of ``items`` when the preference is computed.
     """
-    pref = preference_vectors(ratings, items if vectors is None else vectors)
+    of = items if vectors is None else vectors
+    prefs = [preference_vectors(ratings, of, c).withColumnRenamed("pref", f"pref_{c}") for c, _ in o.spaces]
+    pref = reduce(lambda a, b: a.join(b, "user_id", "full"), prefs).drop("user_id")
     seen = ratings.where("exclude").select("item_id").distinct()
-    cand = items.where(F.col("vec").isNotNull() & allowed(o)).withColumn("root", F.coalesce("root", "item_id")).join(seen, "item_id", "left_anti")
-    cand = cand.crossJoin(F.broadcast(pref.select("pref")))  # one row
-    cand = cand.select("item_id", "root", "air_year", "votes", F.round(V.cosine(F.col("pref"), F.col("vec")), 9).alias("match"), bayes_quality(F.col("score"), F.coalesce("votes", F.lit(0))).alias("quality")).where("match is not null")
+    present = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c, _ in o.spaces])
+    cand = items.where(present & allowed(o)).withColumn("root", F.coalesce("root", "item_id")).join(seen, "item_id", "left_anti")
+    cand = cand.crossJoin(F.broadcast(pref))  # one row
+    cosines = [(V.cosine(F.col(f"pref_{c}"), F.col(c)), w) for c, w in o.spaces]
+    match = F.when(F.coalesce(*[c for c, _ in cosines]).isNotNull(), V.fused(cosines))
+    cand = cand.select("item_id", "root", "air_year", "votes", F.round(match, 9).alias("match"), bayes_quality(F.col("score"), F.coalesce("votes", F.lit(0))).alias("quality")).where("match is not null")
     if o.fold:
         best = F.max_by(F.struct("match", "item_id"), F.struct(F.col("match"), -F.col("item_id")))
         entry = F.min_by(F.struct("item_id", "quality"), F.struct(F.coalesce("air_year", F.lit(1 << 30)), -F.coalesce("votes", F.lit(0)), F.col("item_id")))

@@ -34,7 +34,8 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 def items(spark: SparkSession, d: str) -> DataFrame:
     """item_id, root, vec, score, votes, nsfw, air_year, air_date"""
     e = load(spark, d, "embeddings", ["vec_id", "embedding"]).select(F.col("vec_id").alias("item_id"), (F.col("vec_id") % 97).alias("root"), F.col("embedding").alias("vec"))
-    votes = load(spark, d, "lineitem", ["l_partkey", "l_quantity"]).groupBy(F.col("l_partkey").alias("item_id")).agg(F.count("*").alias("votes"), F.round(F.avg("l_quantity") / 5, 6).alias("score"))
+    keys = e.select(F.col("item_id").alias("l_partkey"))  # the facts of other parts are dropped before they are added up
+    votes = load(spark, d, "lineitem", ["l_partkey", "l_quantity"]).join(keys, "l_partkey", "left_semi").groupBy(F.col("l_partkey").alias("item_id")).agg(F.count("*").alias("votes"), F.round(F.avg("l_quantity") / 5, 6).alias("score"))
     dates = load(spark, d, "orders", ["o_orderkey", "o_orderdate"]).select(F.col("o_orderkey").alias("item_id"), F.col("o_orderdate").cast("date").alias("air_date"))
     flags = load(spark, d, "part", ["p_partkey", "p_size"]).select(F.col("p_partkey").alias("item_id"), (F.col("p_size") % 10 == 0).alias("nsfw"))
     return e.join(votes, "item_id", "left").join(dates, "item_id", "left").join(flags, "item_id", "left").withColumn("air_year", F.year("air_date"))
@@ -191,6 +192,45 @@ def recommend_rank_blend(spark, d):
     return run(spark, d, alpha=0.8, top_k=25)
 
 
+SPACES = (("vec_tag", 1, 16), ("vec_emb", 17, 32), ("vec_staff", 49, 16))  # column, first number, how many
+
+
+def _in_spaces(df: DataFrame) -> DataFrame:
+    """The three spaces of an item; every seventh item has no staff, every eleventh no tags."""
+    lacks = {"vec_staff": F.col("item_id") % 7 == 0, "vec_tag": F.col("item_id") % 11 == 0}
+    return df.select("*", *[F.when(~lacks.get(c, F.lit(False)), F.slice("vec", a, n)).alias(c) for c, a, n in SPACES])
+
+
+def _spaces_sql(weights: dict[str, float]) -> str:
+    """``ranked_sql`` with the match of the spaces in ``weights`` fused."""
+    lacks = {"vec_staff": "item_id % 7 = 0", "vec_tag": "item_id % 11 = 0"}
+    total = sum(weights.values())
+    used = [(c, a, n) for c, a, n in SPACES if weights.get(c, 0) > 0]
+    vec = lambda c, a, n: f"case when not ({lacks.get(c, 'false')}) then vec[{a}:{a + n - 1}] end {c}"
+    dims = ", ".join(f"d_{c} as (select pos, sum(w * x) v from (select w, unnest({c})::double x, generate_subscripts({c}, 1) pos from weights join spaced using (item_id) where user_id = {USER}) group by 1), p_{c} as (select list(v order by pos) pv_{c} from d_{c})" for c, _, _ in used)
+    mix = " + ".join(f"{weights[c] / total}::double * coalesce(list_cosine_similarity(pv_{c}, {c}::double[]), 0)" for c, _, _ in used)
+    some = " or ".join(f"{c} is not null" for c, _, _ in used)
+    whole = ranked_sql()
+    a, b = whole.index("dims as ("), whole.index("scored as (")
+    pref = f"spaced as (select *, {', '.join(vec(*s) for s in SPACES)} from items), {dims}, "
+    return whole[:a] + pref + whole[b:].replace("round(list_cosine_similarity(pv, vec::double[]), 9) match", f"case when {some} then round({mix}, 9) end match").replace("from items i cross join pref", "from spaced i " + " ".join(f"cross join p_{c}" for c, _, _ in used))
+
+
+def _recommend_spaces(spark: SparkSession, d: str, weights: dict[str, float]) -> DataFrame:
+    i = _in_spaces(items(spark, d))
+    return shown(R.recommend(i, ratings(spark, d, USER), R.Options(weights=tuple(weights.items())), _in_spaces(vectors(spark, d))))
+
+
+@query(_spaces_sql({"vec_tag": 0.3, "vec_emb": 0.6, "vec_staff": 0.1}))
+def recommend_three_spaces(spark, d):
+    return _recommend_spaces(spark, d, {"vec_tag": 0.3, "vec_emb": 0.6, "vec_staff": 0.1})
+
+
+@query(_spaces_sql({"vec_tag": 0.5, "vec_staff": 0.5}))
+def recommend_two_spaces(spark, d):
+    return _recommend_spaces(spark, d, {"vec_tag": 0.5, "vec_emb": 0.0, "vec_staff": 0.5})
+
+
 BASE = "not coalesce(nsfw, false) and (score is null or score <= 0 or score >= 3.5)"
 
 
