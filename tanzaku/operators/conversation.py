@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tanzaku.operators.retrieval import MAX_PINNED
+from tanzaku.functions import vectors as V
+from tanzaku.operators.retrieval import FINAL, FLOOR, MAX_PINNED, choose, keep_first, mentions, pinned, recall, resolve, songs_seat
 
 TURNS, TURN_CHARS = 3, 300
 
@@ -65,3 +66,29 @@ def chase(titles: DataFrame, redirects: DataFrame, hops: int = 3) -> DataFrame:
     for _ in range(hops):
         at = at.join(step, F.col("target") == F.col("_s"), "left").select("title", F.coalesce("_t", "target").alias("target"))
     return at
+
+
+def answer_context(questions: DataFrame, names: DataFrame, chunks: DataFrame, quotas: dict[str, int] | None = None, final: int = FINAL, floor: float = FLOOR) -> DataFrame:
+    """(qid, state, root, position, chunk_id, score, pinned): from questions to what their answers rest on.
+
+    ``questions``: qid, question, key, qvec; ``names``: name, entity_type, root, character_id; ``chunks``: chunk_id, root, layer,
+    spoiler_level, vec, character_id, chunk_no. Mentions settle the scope; within it the chunks of named characters come
+    first, then those that the quotas recall; questions about songs keep a seat for one. A question without a scope,
+    or whose scope gives nothing, has one row without a chunk.
+    """
+    questions, names = questions.select("qid", "question", "key", "qvec"), names.select("name", "entity_type", "root", "character_id")
+    chunks = chunks.select("chunk_id", "root", "layer", "spoiler_level", "vec", "character_id", "chunk_no")
+    said = mentions(questions, names).select("qid", "name").distinct().join(names, "name")
+    states = resolve(questions, said.select("qid", "name", "entity_type", "root"), chunks.select("root"))
+    asked = questions.join(states.where("state = 'OK'").select("qid", "root"), "qid")
+    found = recall(asked.where("qvec is not null").select("qid", "root", "qvec"), chunks, quotas)
+    who = said.where("character_id is not null").join(asked.select("qid", "root"), ["qid", "root"]).select("qid", "character_id").distinct()
+    first = pinned(who, chunks.where("spoiler_level = 0 and character_id is not null").select("chunk_id", "character_id", "chunk_no"))
+    pool = keep_first([first, found.select("qid", "chunk_id", F.col("rn").alias("position"))], "qid", "chunk_id", "position")
+    seat = songs_seat(asked, found).withColumn("seat", F.lit(True))
+    near = F.round(V.dot(F.col("qvec"), F.col("vec")), 9)
+    scored = pool.join(asked.select("qid", "qvec"), "qid").join(chunks.select("chunk_id", "vec"), "chunk_id").select("qid", "chunk_id", F.coalesce(near, F.lit(0.0)).alias("score"))
+    marked = scored.join(first.select("qid", "chunk_id", F.lit(True).alias("pinned")), ["qid", "chunk_id"], "left").join(seat, ["qid", "chunk_id"], "left")
+    marked = marked.select("qid", "chunk_id", "score", F.coalesce("pinned", F.lit(False)).alias("pinned"), F.coalesce("seat", F.lit(False)).alias("seat"))
+    kept = choose(marked, ["qid"], final, floor).select("qid", "position", "chunk_id", "score", "pinned")
+    return states.join(kept, "qid", "left").select("qid", "state", "root", "position", "chunk_id", "score", "pinned")

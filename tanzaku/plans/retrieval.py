@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tanzaku.functions import text as T
 from tanzaku.operators import retrieval as R
+from tanzaku.operators.conversation import answer_context
 from tanzaku.plans.keys import name_key_sql
 from tanzaku.plans.registry import query
 from tanzaku.plans.selecting import PROFILE, works
@@ -151,3 +152,25 @@ def selection_set_checks(spark, d):
 def keyword_triggers(spark, d):
     any_of = lambda words: reduce(lambda a, b: a | b, [F.col("question").contains(w) for w in words])
     return asked(spark, d).select(F.col("item_id").alias("qid"), F.col("question").rlike(R.SONGS_QUERY).alias("songs"), any_of(("导演", "监督")).alias("director"), any_of(("最后",)).alias("ending"))
+
+
+def linked_pages(spark: SparkSession, d: str) -> DataFrame:
+    """pageid, root: pages whose title, without what stands in brackets behind it, is a name of a work."""
+    t = load(spark, d, "moegirl_page", ["pageid", "title"]).where("title is not null").groupBy("pageid").agg(F.min("title").alias("title"))
+    t = t.select("pageid", T.name_key(F.regexp_replace("title", "[（(][^（()）]*[)）]$", "")).alias("name"))
+    return t.join(names(spark, d).where("entity_type = 'subject'"), "name").groupBy("pageid").agg(F.min("root").alias("root"))
+
+
+@query()
+def ask_context(spark, d):
+    """From the first lines of pages, as questions with the vector of a chunk of theirs, to the chunks an answer would rest on."""
+    c = load(spark, d, "plot_chunk", ["chunk_id", "pageid", "character_id", "kind", "chunk_no", "spoiler_level", "vec"]).dropDuplicates(["chunk_id"])
+    layer = F.when(F.col("kind") == "songs", "songs").when(F.col("character_id").isNotNull(), "char").otherwise("series")
+    usable = c.where("size(vec) = 96 and not exists(vec, x -> isnan(x))")
+    chunks = usable.join(linked_pages(spark, d), "pageid").select("chunk_id", "root", layer.alias("layer"), "spoiler_level", "vec", "character_id", "chunk_no")
+    qvec = usable.where("pageid is not null").groupBy(F.col("pageid").alias("qid")).agg(F.min_by("vec", "chunk_id").alias("qvec"))
+    a = load(spark, d, "alias", ["name", "character_id", "entity_type", "subject_id", "parent_subject_id"])
+    w = works(spark, d, ["series_root"]).select("subject_id", F.coalesce("series_root", "subject_id").alias("root"))
+    named = a.select(T.name_key("name").alias("name"), "entity_type", "character_id", F.coalesce("parent_subject_id", "subject_id").alias("subject_id")).join(w, "subject_id").select("name", "entity_type", "root", "character_id").distinct()
+    got = answer_context(questions(spark, d).join(qvec, "qid", "left"), named, chunks)
+    return got.select("qid", "state", "root", "position", "chunk_id", F.round("score", 6).alias("score"), "pinned")

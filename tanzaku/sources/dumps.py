@@ -39,9 +39,11 @@ def read_manifest(spark: SparkSession, path: str, key: str, schema: str) -> Data
 
 def read_pages(spark: SparkSession, folder: str, manifest: DataFrame, key: str = "pageid") -> tuple[DataFrame, DataFrame]:
     """((key, html) of the gzipped pages ``folder/<key>.html.gz``, keys of the manifest without a page)."""
-    raw = spark.read.text(f"{folder}/*.html.gz", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.html\.gz$", 1).cast("long").alias(key), F.col("value").alias("html"))
+    number = lambda path: F.regexp_extract(path, r"([^/]+)\.html\.gz$", 1).try_cast("long").alias(key)
+    raw = spark.read.text(f"{folder}/*.html.gz", wholetext=True).select(number(F.input_file_name()), F.col("value").alias("html"))
+    there = spark.read.format("binaryFile").load(f"{folder}/*.html.gz").select(number(F.col("path")))  # the listing alone, no content
     wanted = manifest.select(F.col(key).cast("long").alias(key)).distinct()
-    return raw.join(wanted, key, "left_semi"), wanted.join(raw.select(key), key, "left_anti")
+    return raw.join(wanted, key, "left_semi"), wanted.join(there, key, "left_anti")
 
 
 def read_nested(spark: SparkSession, path: str) -> DataFrame:

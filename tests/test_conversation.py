@@ -64,3 +64,18 @@ def test_variants_and_models(spark):
     assert {(r.src_sha, r.dst) for r in N.best_translation(t, ["m1", "m2"]).collect()} == {("k", "new"), ("j", "nine")}
     s = spark.createDataFrame([("剧情/第一章",), ("注释/来源",), ("",)], "p string")
     assert [r[0] for r in s.select(N.skipped(F.col("p"))).collect()] == [False, True, False]
+
+
+def test_from_question_to_context(spark):
+    from tanzaku.operators.conversation import answer_context
+
+    v = lambda x: [float(x), 1.0]
+    q = spark.createDataFrame([(1, "甲作的主题曲是什么", "甲作的主题曲是什么", v(1)), (2, "小红在甲作", "小红在甲作", v(1)), (3, "什么都没有", "什么都没有", v(1)), (4, "乙作", "乙作", None), (5, None, None, v(1))], "qid int, question string, key string, qvec array<double>")
+    names = spark.createDataFrame([("甲作", "subject", 10, None), ("小红", "character", 10, 7), ("乙作", "subject", 20, None)], "name string, entity_type string, root int, character_id int")
+    rows = [(100 + i, 10, "series", 0, v(i), None, i) for i in range(12)] + [(200, 10, "songs", 0, v(-9), None, 0), (300, 10, "char", 0, v(-5), 7, 0), (301, 10, "char", 1, v(50), 7, 1), (400, 20, "series", 0, v(1), None, 0)]
+    chunks = spark.createDataFrame(rows, "chunk_id int, root int, layer string, spoiler_level int, vec array<double>, character_id int, chunk_no int").withColumn("qid", F.lit(0))
+    got = answer_context(q, names, chunks).collect()
+    of = lambda i: [(r.state, r.chunk_id) for r in sorted((r for r in got if r.qid == i), key=lambda r: r.position or 0)]
+    assert len(of(1)) == 8 and {c for _, c in of(1)} >= {200, 111} and 301 not in {c for _, c in of(1)}
+    assert 300 in {c for _, c in of(2)} and 200 not in {c for _, c in of(2)}
+    assert of(3) == [("UNKNOWN", None)] and of(4) == [("OK", None)] and of(5) == [("UNKNOWN", None)]
