@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tanzaku.checkpoints import stored
 from tanzaku.functions import vectors as V
 from tanzaku.operators.retrieval import FINAL, FLOOR, MAX_PINNED, choose, keep_first, mentions, pinned, recall, resolve, songs_seat
 
@@ -78,10 +79,10 @@ def answer_context(questions: DataFrame, names: DataFrame, chunks: DataFrame, qu
     """
     questions, names = questions.select("qid", "question", "key", "qvec"), names.select("name", "entity_type", "root", "character_id")
     chunks = chunks.select("chunk_id", "root", "layer", "spoiler_level", "vec", "character_id", "chunk_no")
-    said = mentions(questions, names).select("qid", "name").distinct().join(names, "name")
-    states = resolve(questions, said.select("qid", "name", "entity_type", "root"), chunks.select("root"))
+    said = stored(mentions(questions, names).select("qid", "name").distinct().join(names, "name"), "said")
+    states = stored(resolve(questions, said.select("qid", "name", "entity_type", "root"), chunks.select("root")), "states")
     asked = questions.join(states.where("state = 'OK'").select("qid", "root"), "qid")
-    found = recall(asked.where("qvec is not null").select("qid", "root", "qvec"), chunks, quotas)
+    found = stored(recall(asked.where("qvec is not null").select("qid", "root", "qvec"), chunks, quotas), "recalled")
     who = said.where("character_id is not null").join(asked.select("qid", "root"), ["qid", "root"]).select("qid", "character_id").distinct()
     first = pinned(who, chunks.where("spoiler_level = 0 and character_id is not null").select("chunk_id", "character_id", "chunk_no"))
     pool = keep_first([first, found.select("qid", "chunk_id", F.col("rn").alias("position"))], "qid", "chunk_id", "position")

@@ -39,16 +39,21 @@ def candidate_mentions(questions: DataFrame, names: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bits = shared.value
         for b in batches:
+            keys = b.column(1).to_pylist()
+            ends = np.cumsum([len(k) for k in keys])
+            begins = np.concatenate([[0], ends[:-1]])
+            joined = "".join(keys)
+            codes, owner = codes_of(joined), np.repeat(np.arange(len(keys)), ends - begins)
             row, name, start, free = [], [], [], []
-            for i, key in enumerate(b.column(1).to_pylist()):
-                codes = codes_of(key)
-                for size in range(MENTION_MIN, min(MENTION_MAX, len(codes)) + 1):
-                    for at in passing(window_hashes(codes, size), words, bits).tolist():
-                        part = key[at : at + size]
-                        row.append(i)
-                        name.append(part)
-                        start.append(at + 1)
-                        free.append(not word.issuperset(part) or not (at and key[at - 1] in word or key[at + size : at + size + 1] in word))
+            for size in range(MENTION_MIN, min(MENTION_MAX, len(codes)) + 1):
+                at = np.flatnonzero(owner[: len(codes) - size + 1] == owner[size - 1 :])
+                at = at[passing(window_hashes(codes, size)[at], words, bits)]
+                for i, k in zip(owner[at].tolist(), at.tolist()):
+                    part, e = joined[k : k + size], k + size
+                    row.append(i)
+                    name.append(part)
+                    start.append(k - int(begins[i]) + 1)
+                    free.append(not word.issuperset(part) or not (k > begins[i] and joined[k - 1] in word or e < ends[i] and joined[e] in word))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(name, pa.string()), pa.array(start, pa.int32()), pa.array(free, pa.bool_())], names=["qid", "name", "start", "free"])
 
     parts = questions.select("qid", "key").where("qid is not null and key is not null").mapInArrow(run, f"qid {kind}, name string, start int, free boolean")
