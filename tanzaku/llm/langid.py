@@ -96,18 +96,25 @@ def _slots(h: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) >> np.uint64(13)).astype(np.int64) % SLOTS
 
 
+BIT = ((np.arange(1 << len(LANGS))[:, None] >> np.arange(len(LANGS))) & 1).astype(np.float64)  #: bits of every mask
+
+
 @dataclass(frozen=True)
 class Filter:
     masks: np.ndarray  #: of every slot: bit l is set if language l may contain the n-gram
     chance: np.ndarray  #: false-positive rate per language
 
-    def found(self, h: np.ndarray) -> np.ndarray:
-        """n-grams x languages: which languages contain each."""
+    def mask(self, h: np.ndarray) -> np.ndarray:
+        """Of every n-gram the bit mask of the languages that may contain it."""
         s = _slots(h)
-        mask = self.masks[s[:, 0]]
+        out = self.masks[s[:, 0]]
         for j in range(1, HASHES):
-            mask = mask & self.masks[s[:, j]]
-        return (mask[:, None] >> np.arange(len(LANGS), dtype=np.uint8)) & 1
+            out = out & self.masks[s[:, j]]
+        return out
+
+    def found(self, h: np.ndarray) -> np.ndarray:
+        """n-grams x languages: which languages contain each."""
+        return BIT[self.mask(h)].astype(np.uint8)
 
 
 def _fit(texts: list[tuple[str, str]]) -> Filter:
@@ -155,21 +162,23 @@ def stretches(text: str, model: Filter) -> list[tuple[int, int, str, float]]:
     if not spans:
         return []
     codes = _codes(text)
-    hidden = np.zeros(len(codes), bool)
-    letters = KIND[np.minimum(codes, 65535)] > 0
-    for a, b in spans:
-        inner = hidden[a:b]
-        for m in QUOTED.finditer(text, a, b):
-            inner[m.start() - a : m.end() - a] = True
-        if (letters[a:b] & ~inner).sum() < 6:
-            inner[:] = False
+    hidden = None
+    if QUOTED.search(text):
+        hidden = np.zeros(len(codes), bool)
+        letters = KIND[np.minimum(codes, 65535)] > 0
+        for a, b in spans:
+            inner = hidden[a:b]
+            for m in QUOTED.finditer(text, a, b):
+                inner[m.start() - a : m.end() - a] = True
+            if (letters[a:b] & ~inner).sum() < 6:
+                inner[:] = False
     h, pos, weight = grams(codes, hidden)
     if not len(h):
         return []
     at = np.searchsorted(np.array([a for a, _ in spans]), pos, side="right") - 1
-    hit = model.found(h).astype(np.float32) * weight[:, None]
-    total = np.bincount(at, weight, len(spans))
-    got = np.stack([np.bincount(at, hit[:, i], len(spans)) for i in range(len(LANGS))], 1)
+    size = len(BIT)
+    seen = np.bincount(at * size + model.mask(h), weight, len(spans) * size).reshape(-1, size)  # weight of every mask in every sentence
+    total, got = seen.sum(1), seen @ BIT  # popcounts per language
     share = np.clip((got - total[:, None] * model.chance) / np.maximum(total[:, None] * (1 - model.chance), 1e-9), 0, 1)
     gain = share * np.minimum(total, CAP)[:, None]
     best, back = gain[0].copy(), []
