@@ -69,6 +69,20 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spheri
     return c, (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
 
 
+TABLE = 1 << 21  #: numbers of a table of rows and leaves that are held at once
+
+
+def nearest_leaves(x: np.ndarray, leaves: np.ndarray, probes: int) -> np.ndarray:
+    """The ``probes`` leaves next to each row of ``x``, nearest first; rows in blocks, as whole samples times all leaves would fill the driver."""
+    near, step = np.empty((len(x), probes), np.int64), max(1, TABLE // len(leaves))
+    for lo in range(0, len(x), step):
+        far = x[lo : lo + step] @ leaves.T
+        np.negative(far, out=far)
+        some = np.argpartition(far, probes - 1, axis=1)[:, :probes]
+        near[lo : lo + step] = np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, 1), axis=1, kind="stable"), 1)
+    return near
+
+
 def grow_leaves(x: np.ndarray, leaves: int, rng: np.random.Generator) -> np.ndarray:
     """Centroids of a tree that splits ``x`` until no part holds more than its even share of rows."""
     share, todo, out = max(1.0, len(x) / leaves), [np.arange(len(x))], []
@@ -99,13 +113,13 @@ def train(sample: np.ndarray, rows: int, p: Params, visiting: bool = True) -> Mo
     rng = np.random.default_rng(p.seed)
     x = _unit(sample.astype(np.float32))
     leaves = grow_leaves(x, int(np.clip(rows / p.leaf_rows, 1, min(p.max_leaves, max(1, len(x) // 4)))), rng)
-    sim = x @ leaves.T
-    home = sim.argmax(1)
+    near = nearest_leaves(x, leaves, min(p.probes, len(leaves)) if visiting else 1)
+    home = near[:, 0]
     share = np.bincount(home, minlength=len(leaves)) / len(x) * rows
     parts = np.maximum(1, np.ceil(share / (8 * p.leaf_rows))).astype(np.int64)
     load = share / parts
     if visiting:
-        load = load + (np.bincount(np.argpartition(-sim, min(p.probes, len(leaves)) - 1, axis=1)[:, : p.probes].ravel(), minlength=len(leaves)) / len(x) * rows) - share
+        load = load + (np.bincount(near.ravel(), minlength=len(leaves)) / len(x) * rows) - share
     rest, books = x - leaves[home], []
     if len(rest) > p.residual_rows:
         rest = rest[rng.choice(len(rest), p.residual_rows, replace=False)]
@@ -168,8 +182,9 @@ def _read(payload: pa.Array, dim: int) -> np.ndarray:
     raw = np.frombuffer(payload.buffers()[2], np.uint8)
     width = np.diff(offsets)
     for size, kind in ((2 * dim, "<f2"), (4 * dim, "<f4")):
-        at = np.flatnonzero(width == size)
-        if len(at):
+        fits = np.flatnonzero(width == size)
+        for lo in range(0, len(fits), 4096):  # bounds the table of the places of all bytes
+            at = fits[lo : lo + 4096]
             out[at] = raw[offsets[at][:, None] + np.arange(size)].view(kind).astype(np.float32)
     return _unit(out)
 
@@ -277,15 +292,13 @@ def neighbours(reps: DataFrame, p: Params = Params(), least: float = -1.5, query
             for coll, model in shared.value[0].items():
                 first, task = shared.value[1][coll]
                 part = b.filter(pc.equal(b.column(1), coll))
-                step = max(256, min(4096, (1 << 24) // len(model.leaves)))  # bounds the table of rows and leaves
+                step = 4096
                 for lo in range(0, part.num_rows, step):
                     cut = part.slice(lo, step)
                     x, ids = _read(cut.column(2), p.dim), np.asarray(cut.column(0))
                     asks = np.asarray(cut.column(3).to_numpy(zero_copy_only=False), bool)
-                    sim = x @ model.leaves.T
-                    probes = min(p.probes, sim.shape[1])
-                    near = np.argpartition(-sim, probes - 1, axis=1)[:, :probes]
-                    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sim, near, 1), axis=1, kind="stable"), 1)
+                    probes = min(p.probes, len(model.leaves))
+                    near = nearest_leaves(x, model.leaves, probes)
                     home = near[:, 0]
                     codes = encode(x - model.leaves[home], model.books, p.beam)
                     norms = np.linalg.norm(decode(codes, model.books) + model.leaves[home], axis=1).astype(np.float32)

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tanzaku.llm import knn
@@ -112,3 +115,31 @@ def test_tiny_collections(spark, n):
     x = np.repeat(_rows(20)[:1], n, 0) + np.arange(n)[:, None] * 1e-3
     got = knn.mutual_pairs(knn.usable_vectors(_frame(spark, x), "chunk_id", "vec", "c"))
     assert got.count() == n * (n - 1) // 2
+
+
+def _peak_mb(f) -> tuple[float, object]:
+    tracemalloc.start()
+    out = f()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6, out
+
+
+@pytest.mark.parametrize("visiting", [True, False])
+def test_training_memory_does_not_grow_with_the_leaves(visiting):
+    x = _rows(8192)
+    p = knn.Params(leaf_rows=4)
+    peak, m = _peak_mb(lambda: knn.train(x, len(x), p, visiting))
+    assert len(m.leaves) > 1800 and peak < 60  # the table of all rows and leaves alone would have 60 MB and more
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    order = np.argsort(-(u @ m.leaves.T), axis=1, kind="stable")[:, : p.probes]
+    assert (knn.nearest_leaves(u, m.leaves, p.probes) == order).mean() > 0.9999  # a last bit may decide
+    assert abs(m.load @ m.parts - len(x) * (p.probes if visiting else 1)) < 1e-3 * len(x)
+
+
+def test_reading_a_sample_takes_little_beyond_it():
+    x = np.random.default_rng(1).normal(size=(20000, 96)).astype(np.float32)
+    x[::3] = x[::3].astype(np.float16)
+    payload = pa.array([(r.astype("<f2") if i % 3 == 0 else r).tobytes() for i, r in enumerate(x)], pa.binary())
+    peak, got = _peak_mb(lambda: knn._read(payload, 96))
+    assert np.allclose(got, x / np.linalg.norm(x, axis=1, keepdims=True), atol=1e-6) and peak < 40
